@@ -45,3 +45,25 @@ def bounded(df: DataFrame, key: str, most: int, seed: int = 7) -> DataFrame:
         return df
     parts = 1 << 30
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(parts)) < int(parts * most / n))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have yet: the given ones, with underscores where they clash."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def per_worker(key: str, make):
+    """``make()`` once for each Python worker process; later calls give the same object."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_tessarine_kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

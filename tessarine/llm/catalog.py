@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from tessarine.llm import language_id
+from tessarine.llm import decontaminate, hmm, language_id, mixing, secrets
 
-QUERIES = {"op9_language_id": language_id.query}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_hmm_scores": hmm.query,
+    "op3_decontaminate": decontaminate.query,
+    "op4_secret_scan": secrets.query,
+    "op5_source_mixing": mixing.query,
+    "op9_language_id": language_id.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": decontaminate.SQL,
+    "op5_source_mixing": mixing.SQL,
+}

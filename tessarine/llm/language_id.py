@@ -186,13 +186,13 @@ def scorer(model: Model, min_margin: float, min_evidence: float):
     return F.arrow_udf(score, "lang_id string, margin double, evidence double, accepted boolean").asNondeterministic()
 
 
-def identify(docs: DataFrame, model: Model, min_margin: float = 0.05, min_evidence: float = 0.5) -> DataFrame:
-    """docs with a struct column ``_language``; every other column stays as it is.
+def identify(docs: DataFrame, model: Model, min_margin: float = 0.05, min_evidence: float = 0.5, into: str = "_language") -> DataFrame:
+    """docs with a struct column ``into``; every other column stays as it is.
 
     A text is accepted if at least ``min_evidence`` of its words give evidence and the
     best language leads by ``min_margin`` (natural log, per word).
     """
-    return docs.withColumn("_language", scorer(model, min_margin, min_evidence)(F.lower("text")))
+    return docs.withColumn(into, scorer(model, min_margin, min_evidence)(F.lower("text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -204,4 +204,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language can't be told go."""
-    return identify(docs, fit(docs)).where("_language.accepted").drop("_language")
+    [own] = _run.fresh(docs, "_language")
+    return identify(docs, fit(docs), into=own).where(F.col(own)["accepted"]).drop(own)
