@@ -37,7 +37,7 @@ PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 WINDOW = 256
 MASK = "[SECRET]"
 #: A single word this badly compressed is no word of any language in the vocabulary.
-WORD_RATIO = 1.6
+WORD_RATIO = 1.5
 
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NUMBER = re.compile(r"[0-9+/_\-]+")
