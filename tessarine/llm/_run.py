@@ -35,6 +35,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of written tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        conf = df.sparkSession._jsc.hadoopConfiguration()
+        for file in df.inputFiles():
+            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if path.getName().startswith("tessarine-"):
+                path.getFileSystem(conf).delete(path, True)
+                break
+
+
 def bounded(df: DataFrame, key: str, most: int, seed: int = 7) -> DataFrame:
     """About ``most`` rows of df, chosen by a hash of ``key``; all of them if there are no more.
 

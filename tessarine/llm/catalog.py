@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from tessarine.llm import decontaminate, hmm, language_id, mixing, secrets
+from tessarine.llm import decontaminate, hmm, language_id, mixing, ngram_join, secrets, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": ngram_join.query,
     "op2_hmm_scores": hmm.query,
     "op3_decontaminate": decontaminate.query,
     "op4_secret_scan": secrets.query,
     "op5_source_mixing": mixing.query,
     "op9_language_id": language_id.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard": ngram_join.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op5_source_mixing": mixing.SQL,
 }
