@@ -48,7 +48,13 @@ def tokens(query: str) -> list[tuple[str, ...]]:
 
 def patterns(query: str, engine: str = "java") -> list[str]:
     """One regular expression for each term or group: what ranked search looks for."""
-    return ["|".join(term_regex(t, engine) for t in group) for group in tokens(query.strip())]
+    return [_anchored(group[0], engine) if len(group) == 1 else "|".join(term_regex(t, engine) for t in group) for group in tokens(query.strip())]
+
+
+def _anchored(term: str, engine: str) -> str:
+    """A term that begins with ``*`` matches from the line's start on, so a backtracking engine need not try other places."""
+    body = term_regex(term, engine)
+    return f"(?md:^){body}" if engine == "java" and term[0] == "*" else body
 
 
 def any_pattern(query: str, engine: str = "java") -> str:

@@ -304,10 +304,18 @@ def numbered_file(path: Column, text: Column) -> Column:
     return F.concat(F.lit("## File: "), path, F.lit("\n\n```\n"), numbered, F.lit("\n```"))
 
 
+def encode_component(text: Column) -> Column:
+    """Percent-encoding that leaves letters, digits and ``-_.!~*'()`` as they are."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for code, char in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
 def search_url(template: str, query: Column) -> Column:
-    """A URL template with its first {query} filled in; blanks become %20."""
+    """A URL template with its first {query} filled in."""
     head, mark, tail = template.partition("{query}")
-    return F.concat(F.lit(head), F.replace(F.url_encode(query), F.lit("+"), F.lit("%20")), F.lit(tail)) if mark else F.lit(template)
+    return F.concat(F.lit(head), encode_component(query), F.lit(tail)) if mark else F.lit(template)
 
 
 def breakpoint(module: Column, path: Column, line: Column) -> Column:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessarine.plans import derived, interval_plans, search_plans, text_plans  # noqa: F401
+
+QUERIES = derived.QUERIES
+ORACLE_SQL = derived.ORACLE_SQL

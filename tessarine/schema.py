@@ -22,7 +22,7 @@ DOCUMENT_TYPE = {0: "standard", 1: "knowledge_base"}
 
 FILES = T.StructType().add("file_id", "long").add("file_path", "string").add("sha256", "string")
 CHUNKS = (
-    T.StructType().add("chunk_id", "long").add("file_id", "long").add("start_line", "int").add("end_line", "int").add("sha256", "string").add("vector_id", "long")
+    T.StructType().add("chunk_id", "long").add("file_id", "long").add("start_line", "integer").add("end_line", "integer").add("sha256", "string").add("vector_id", "long")
 )
 VECTORS = T.StructType().add("vector_id", "long").add("embedding", T.ArrayType(T.FloatType()))
 DELETED_CHUNKS = T.StructType().add("sha256", "string").add("vector_id", "long").add("touched_at", "long")
@@ -31,16 +31,16 @@ VECTOR_CACHE = T.StructType().add("sha256", "string").add("data", "string")
 #: Lines of symbols count from 0, their end line is inclusive, their end column exclusive.
 SYMBOL = (
     T.StructType()
-    .add("type", "int").add("name", "string")
-    .add("start_line", "int").add("start_column", "int").add("end_line", "int").add("end_column", "int")
-    .add("name_start_line", "int").add("name_start_column", "int").add("name_end_line", "int").add("name_end_column", "int")
+    .add("type", "integer").add("name", "string")
+    .add("start_line", "integer").add("start_column", "integer").add("end_line", "integer").add("end_column", "integer")
+    .add("name_start_line", "integer").add("name_start_column", "integer").add("name_end_line", "integer").add("name_end_column", "integer")
     .add("scope", "string").add("fully_qualified_name", "string").add("signature", "string")
-    .add("header_end_line", "int").add("header_end_column", "int")
+    .add("header_end_line", "integer").add("header_end_column", "integer")
 )
 #: Lines of chunks count from 1, both ends inclusive.
-CHUNK = T.StructType().add("start_line", "int").add("end_line", "int").add("text", "string").add("sha256", "string")
+CHUNK = T.StructType().add("start_line", "integer").add("end_line", "integer").add("text", "string").add("sha256", "string")
 
-RANGE = T.StructType().add("filePath", "string").add("startLine", "int").add("endLine", "int")
+RANGE = T.StructType().add("filePath", "string").add("startLine", "integer").add("endLine", "integer")
 TRAINING = (
     T.StructType().add("query", "string").add("queryType", "string").add("positive", RANGE).add("hardNegatives", T.ArrayType(RANGE)).add("easyNegatives", T.ArrayType(RANGE))
 )
