@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +33,6 @@ def negated(a: Column) -> Column:
 
 def to_base64(a: Column) -> Column:
     """Little-endian float32 as base64 text."""
-    import numpy as np
-    import pyarrow as pa
-
     def encoded(vectors: pa.Array) -> pa.Array:
         return pa.array([None if v is None else np.array(v, dtype="<f4").tobytes() for v in vectors.to_pylist()], pa.binary())
 
@@ -41,9 +40,6 @@ def to_base64(a: Column) -> Column:
 
 
 def from_base64(text: Column) -> Column:
-    import numpy as np
-    import pyarrow as pa
-
     def decoded(data: pa.Array) -> pa.Array:
         return pa.array([None if d is None else np.frombuffer(d, dtype="<f4").tolist() for d in data.to_pylist()], pa.list_(pa.float32()))
 
