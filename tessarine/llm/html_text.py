@@ -238,7 +238,7 @@ def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.01, ship_
     by_host = found.groupBy(F.col("host").alias(key)).agg(F.sort_array(F.collect_list("key")).alias(keys))
     hosted = hosted.withColumn(key, F.arrow_udf(keyed, "long")(host)).join(by_host, key, "left")
     done = hosted.withColumn(into, F.arrow_udf(joined, kind).asNondeterministic()("html", host, keys))
-    return done.select(*(F.col(f"`{c}`") for c in pages.columns), into)
+    return done.select(*(F.col(f"`{c}`") for c in pages.columns if c != into), into)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
