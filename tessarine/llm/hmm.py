@@ -47,14 +47,17 @@ class Model:
         return len(self.initial)
 
 
-def start_model(states: int, symbols: int, seed: int) -> Model:
+def start_model(states: int, symbols: int, seed: int, stay: float = 0.9, away: float = 0.3) -> Model:
+    """Each symbol has a random home state, which emits it 1 / ``away`` times as often as the others, and states tend to
+    last. From a model with equal states Baum-Welch would not move.
+    """
     rng = np.random.default_rng(seed)
-    emission = rng.uniform(0.5, 1.5, (symbols, states))
-    return Model(
-        rng.dirichlet(np.full(states, 20.0)),
-        rng.dirichlet(np.full(states, 20.0), size=states),
-        emission / emission.sum(axis=0),
-    )
+    emission = np.full((symbols, states), away)
+    emission[np.arange(symbols), rng.integers(0, states, symbols)] = 1
+    transition = np.full((states, states), (1 - stay) / max(states - 1, 1))
+    np.fill_diagonal(transition, stay)
+    transition *= rng.uniform(0.8, 1.2, transition.shape)
+    return Model(np.full(states, 1 / states), transition / transition.sum(axis=1, keepdims=True), emission / emission.sum(axis=0))
 
 
 def encode(docs: DataFrame, symbols: int, keep: list[str]) -> DataFrame:
@@ -146,7 +149,7 @@ def expected_counts(model: Model, packed: Packed) -> tuple[np.ndarray, np.ndarra
     gamma = alpha * beta
     first = gamma[: packed.running[0]].sum(axis=0) if len(packed.running) else np.zeros(model.states)
     size = len(model.emission)
-    emission = np.stack([np.bincount(packed.symbols, weights=gamma[:, k], minlength=size) for k in range(model.states)], axis=1)
+    emission = np.stack([np.bincount(packed.symbols, weights=g, minlength=size) for g in np.ascontiguousarray(gamma.T)], axis=1)
     return first, transition * model.transition, emission, float(np.log(scale).sum())
 
 
