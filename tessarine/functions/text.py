@@ -8,11 +8,9 @@ from pyspark.sql import functions as F
 from tessarine.functions.globs import glob_regex
 from tessarine.schema import CALLABLE, CONTAINER, SYMBOL_TYPES
 
-LANGUAGES = {
-    "cpp": "cpp", "cc": "cpp", "h": "cpp", "hpp": "cpp", "c": "c", "ts": "typescript", "js": "javascript", "py": "python",
-    "java": "java", "cs": "csharp", "go": "go", "rs": "rust", "md": "markdown",
-}
-CPP_EXTENSIONS = (".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx")
+LANGUAGES = dict.fromkeys(("cc", "cpp", "h", "hpp"), "cpp") | {e: e for e in ("c", "go", "java")}
+LANGUAGES |= {"cs": "csharp", "js": "javascript", "md": "markdown", "py": "python", "rs": "rust", "ts": "typescript"}
+CPP_EXTENSIONS = tuple(f".{s}{end}" for s in "ch" for end in ("", s, "pp", "xx"))
 
 
 def lines(text: Column) -> Column:
@@ -30,7 +28,7 @@ def trim(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-# -- scrubbing -----------------------------------------------------------------------------
+# --- scrubbing ---
 
 
 def blank_matches(text: Column, pattern: str) -> Column:
@@ -76,7 +74,7 @@ def scrub_map_error(patterns) -> str | None:
     return None
 
 
-# -- hashes --------------------------------------------------------------------------------
+# --- hashes ---
 
 
 def combined_hash(source: Column, scrubbed: Column) -> Column:
@@ -143,7 +141,7 @@ def bloom_positions(sha256: Column, bits: int, hashes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (first + i * second) % F.lit(bits))
 
 
-# -- symbols -------------------------------------------------------------------------------
+# --- symbols ---
 
 
 def symbol_type_name(code: Column) -> Column:
@@ -188,7 +186,7 @@ def markdown_prefix(path: Column, breadcrumb: Column) -> Column:
 
 def boilerplate_line(line: Column) -> Column:
     """Whether a trimmed line of C or C++ says nothing: blank, comment, brace, conditional."""
-    return line.rlike(r"^$|^//|^\}[;,]?\s*(//.*)?$|^#endif|^#pragma once|^#(if|ifdef|ifndef|elif|else)\b")
+    return line.rlike(r"^$|^//|^\}[;,]?\s*(//.*)?$|^#endif|^#pragma once|^#(el(se|if)|if(n?def)?)\b")
 
 
 def cpp_boilerplate(text: Column) -> Column:
@@ -203,19 +201,19 @@ def code_block(text: Column, path: Column) -> Column:
     return F.concat(F.lit("```"), language, F.lit("\n"), text, F.lit("\n```"))
 
 
-# -- paths and links in lines --------------------------------------------------------------
+# --- paths and links in lines ---
 
 _STOP = r"\s\"'<>,;`)"
 _PATH_STOP = r"\s\"'<>|,;`()"
 PATH_PATTERNS = {
     "url": rf"https?://[^{_STOP}]+",
     "file_uri": rf"file:///[^{_STOP}]+",
-    "drive": rf"[A-Za-z]:[\\/][^{_PATH_STOP}]+",
+    "drive": rf"[a-zA-Z]:[/\\][^{_PATH_STOP}]+",
     "unc": rf"\\\\[^{_PATH_STOP}]+",
     "absolute": rf"(?<![:\w/])/[^{_PATH_STOP}]+",
-    "dotted": rf"\.\.?[\\/][^{_PATH_STOP}]+",
-    "relative": r"[\w\-.][\w.\-]*[\\/][\w.\-\\/]+",
-    "name": r"[\w\-][\w.\-]*\.\w{1,10}",
+    "dotted": rf"[.]{{1,2}}[/\\][^{_PATH_STOP}]+",
+    "relative": r"[\w.-]+[/\\][\w./\\-]+",
+    "name": r"[\w-][\w.-]*\.\w{1,10}",
 }
 
 
@@ -230,14 +228,15 @@ def first_path(line: Column) -> Column:
 
 
 def strip_punctuation(text: Column) -> Column:
-    return F.regexp_replace(text, r"[.,;:!?\)\]\}]+$", "")
+    return F.regexp_replace(text, r"[\]})!?.,:;]+$", "")
 
 
 def is_url(text: Column) -> Column:
     return text.rlike("(?i)^https?://")
 
 
-_SUFFIXES = ((r"^(.+):(\d+):(\d+)$", 3), (r"^(..+):(\d+)$", 2), (r"^(.+)\((\d+)(?:,\s*(\d+))?\)$", 3), (r"^(.+)#L(\d+)(?:-L(\d+))?$", 2))
+_N = "([0-9]+)"
+_SUFFIXES = ((f"^(.+):{_N}:{_N}$", 3), (f"^(..+):{_N}$", 2), (f"^(.+)[(]{_N}(?:,[ \\t]*{_N})?[)]$", 3), (f"^(.+)#L{_N}(?:-L{_N})?$", 2))
 
 
 def line_column(path: Column) -> Column:
@@ -254,7 +253,7 @@ def line_column(path: Column) -> Column:
 
 def peek_suffix(rest: Column) -> Column:
     """The line and column suffix that a text begins with, empty without one."""
-    return F.regexp_extract(rest, r"^(?::\d+(?::\d+)?|\(\d+(?:,\s*\d+)?\)|#L\d+(?:-L\d+)?)", 0)
+    return F.regexp_extract(rest, r"^(:[0-9]+(:[0-9]+)?|[(][0-9]+(,[ \t]*[0-9]+)?[)]|#L[0-9]+(-L[0-9]+)?)", 0)
 
 
 def signature_end(code: Column) -> Column:
@@ -275,7 +274,7 @@ def signature_end(code: Column) -> Column:
     return F.when(step > 0, step).otherwise(F.length(F.split(code, "\n")[0]))
 
 
-# -- model texts and output ----------------------------------------------------------------
+# --- model texts and output ---
 
 
 def json_payload(response: Column) -> Column:

@@ -56,7 +56,7 @@ def distinct_chunks(chunks: DataFrame, key: str = "path") -> DataFrame:
     return chunks.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-# -- headings as columns -------------------------------------------------------------------
+# --- headings as columns ---
 
 
 def headings(lines: DataFrame, key: str = "path") -> DataFrame:

@@ -16,11 +16,16 @@ def containers(symbols: DataFrame, types=CONTAINER) -> DataFrame:
     return symbols.where(F.col("type").isin(*types))
 
 
+#: Lines of one cell: points meet only symbols that reach into their cell, so long files cost no square of their length.
+CELL = 256
+
+
 def _innermost(points: DataFrame, symbols: DataFrame, condition: Column, key: str, columns: list[str]) -> DataFrame:
     """points with a struct ``symbol``: of the symbols that hold the line, the one with the smallest span, then the latest start."""
-    own = symbols.select(F.col(key).alias("_k"), F.struct(*columns).alias("_s"))
-    held = points.withColumn("_row", F.struct(*points.columns))
-    joined = held.join(own, (F.col(key) == F.col("_k")) & condition, "left")
+    cells = F.explode(F.sequence(F.floor(F.col("start_line") / CELL), F.floor(F.greatest("start_line", "end_line") / CELL)))
+    own = symbols.select(F.col(key).alias("_k"), F.struct(*columns).alias("_s"), cells.alias("_c"))
+    held = points.select(*points.columns, F.struct(*points.columns).alias("_row"))
+    joined = held.join(own, (F.col(key) == F.col("_k")) & (F.floor(F.col("line") / CELL) == F.col("_c")) & condition, "left")
     span = F.struct((F.col("_s.end_line") - F.col("_s.start_line")).alias("span"), (-F.col("_s.start_line")).alias("start"), F.col("_s").alias("s"))
     best = joined.groupBy("_row").agg(F.min(F.when(F.col("_s").isNotNull(), span)).alias("best"))
     return best.select("_row.*", F.col("best.s").alias("symbol"))
@@ -43,19 +48,34 @@ def qualified_name(points: DataFrame, symbols: DataFrame, key: str = "path") ->
 def context_bounds(points: DataFrame, symbols: DataFrame, key: str = "path", types=CONTAINER) -> DataFrame:
     """Distinct points(key, line, line_count) with min_line and max_line: as far as context reaches
     without leaving the innermost container or entering another one.
+
+    The next start after a line and the last end before it come from one sorted pass each. Only
+    where that last end belongs to a container that began outside of the line's own, so the two
+    overlap in part, are all containers of the file looked at.
     """
-    own = containers(symbols, types).select(F.col(key).alias("_k"), "start_line", "end_line")
-    held = points.select(F.struct(*points.columns).alias("p"), F.col(key).alias("_key"), F.col("line").alias("_line"))
-    joined = held.join(own, F.col("_key") == F.col("_k"), "left")
-    inside = (F.col("start_line") <= F.col("_line")) & (F.col("_line") <= F.col("end_line"))
-    span = F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.col("start_line")).alias("neg"), F.col("end_line").alias("end"))
-    others = F.when(F.col("start_line").isNotNull() & ~inside, F.struct("start_line", "end_line"))
-    found = joined.groupBy("p").agg(F.min(F.when(inside, span)).alias("in"), F.collect_list(others).alias("others"))
-    low, high = F.coalesce(-F.col("in.neg"), F.lit(0)), F.coalesce(F.col("in.end"), F.col("p.line_count") - 1)
-    within = F.filter("others", lambda o: (o["start_line"] >= low) & (o["start_line"] <= high))
-    floor = F.array_max(F.transform(F.filter(within, lambda o: o["end_line"] < F.col("p.line")), lambda o: o["end_line"] + 1))
-    ceiling = F.array_min(F.transform(F.filter(within, lambda o: o["start_line"] > F.col("p.line")), lambda o: o["start_line"] - 1))
-    return found.select("p.*", F.greatest(low, F.coalesce(floor, low)).alias("min_line"), F.least(high, F.coalesce(ceiling, high)).alias("max_line"))
+    own = containers(symbols, types).select(F.col(key), "start_line", "end_line", "type")
+    held = _innermost(points, own, (F.col("_s.start_line") <= F.col("line")) & (F.col("line") <= F.col("_s.end_line")), key, ["start_line", "end_line"])
+    low, high = F.coalesce("symbol.start_line", F.lit(0)), F.coalesce("symbol.end_line", F.col("line_count") - 1)
+    held = held.select(F.struct(*points.columns).alias("p"), F.col(key).alias("k"), F.col("line").alias("at"), low.alias("low"), high.alias("high"))
+    ends = own.groupBy(F.col(key).alias("k"), F.col("end_line").alias("at")).agg(F.max("start_line").alias("s"))
+    ends = ends.select("k", "at", F.struct(F.col("at").alias("end"), F.col("s").alias("start")).alias("before"))
+    marked = held.unionByName(ends, allowMissingColumns=True).withColumn("kind", F.col("before").isNotNull().cast("int"))
+    back = F.last("before", ignorenulls=True).over(Window.partitionBy("k").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("last", back).where("kind = 0").drop("before", "kind")
+    starts = own.select(F.col(key).alias("k"), F.col("start_line").alias("at"), F.col("start_line").alias("after")).distinct()
+    marked = marked.unionByName(starts, allowMissingColumns=True).withColumn("kind", F.col("after").isNotNull().cast("int"))
+    ahead = F.last("after", ignorenulls=True).over(Window.partitionBy("k").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = marked.withColumn("next", ahead).where("kind = 0")
+    ceiling = F.when(F.col("next") <= F.col("high"), F.least(F.col("high"), F.col("next") - 1)).otherwise(F.col("high"))
+    found = found.withColumn("max_line", ceiling)
+    crossed = (F.col("last.end") >= F.col("low")) & (F.col("last.start") < F.col("low"))
+    plain = found.where(~F.coalesce(crossed, F.lit(False)))
+    floor = F.when(F.col("last.end") >= F.col("low"), F.greatest(F.col("low"), F.col("last.end") + 1)).otherwise(F.col("low"))
+    plain = plain.select("p.*", floor.alias("min_line"), "max_line")
+    walls = own.select(F.col(key).alias("_k"), F.col("start_line").alias("_a"), F.col("end_line").alias("_b"))
+    inside = (F.col("k") == F.col("_k")) & (F.col("_a") >= F.col("low")) & (F.col("_b") < F.col("at"))
+    slow = found.where(crossed).join(walls, inside, "left").groupBy("p", "low", "max_line").agg(F.max(F.col("_b") + 1).alias("wall"))
+    return plain.unionByName(slow.select("p.*", F.greatest("low", F.coalesce("wall", "low")).alias("min_line"), "max_line"))
 
 
 def merge(ranges: DataFrame, by: list[str], aggregates: list[Column], start: str = "start_line", end: str = "end_line", gap: int = 0) -> DataFrame:

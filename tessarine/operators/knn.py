@@ -29,6 +29,9 @@ def nearest_for_all(vectors: DataFrame, queries: DataFrame, k: int, query_key: s
     import numpy as np
     import pyarrow as pa
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type, key_type = to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(vectors.schema[key].dataType)
     rows = queries.where("query IS NOT NULL").select(query_key, "query")
     kind = dict(vectors.dtypes)[key]
     schema = f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {kind}, distance double"
@@ -57,7 +60,7 @@ def nearest_for_all(vectors: DataFrame, queries: DataFrame, k: int, query_key: s
                 for i, (d, own) in enumerate(zip(*held, strict=True)):
                     ok = ~np.isnan(d)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i]] * int(ok.sum())), pa.array(own[ok].tolist()), pa.array(d[ok])], names=[query_key, key, "distance"]
+                        [pa.array([ids[i]] * int(ok.sum()), id_type), pa.array(own[ok].tolist(), key_type), pa.array(d[ok])], names=[query_key, key, "distance"]
                     )
 
         return vectors.select(key, column).mapInArrow(best, schema)

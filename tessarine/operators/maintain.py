@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessarine.sources.shared import shared_dir
+
 DAY = 86_400
 
 
-# -- mutations -----------------------------------------------------------------------------
+# --- mutations ---
 
 
 def last_actions(mutations: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def chunk_status(files: DataFrame, index: DataFrame, versions: DataFrame) -> Dat
     return joined.select("path", F.when(changed, 2).when(F.col("_stored") == F.col("scrubbed_sha256"), 0).otherwise(1).alias("status"))
 
 
-# -- chunks --------------------------------------------------------------------------------
+# --- chunks ---
 
 
 def chunk_diff(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -111,12 +113,9 @@ def with_ids(rows: DataFrame, start: int, order: list[str], into: str = "vector_
     """
     from pyspark.sql import types as T
 
-    spark = rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir() and spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    if spark.sparkContext.getCheckpointDir():  # ranges are sampled: both uses must see the same ones
-        parts = parts.checkpoint()
+    shared_dir(rows.sparkSession)
+    # ranges are sampled, and both uses below must see the same ones
+    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     numbered = parts.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = {r["_part"]: r["n"] for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     first, at = {}, start
@@ -194,7 +193,7 @@ def set_file_versions(files: DataFrame, changes: DataFrame) -> DataFrame:
     return update(files, changes, "file_path", ["sha256"])
 
 
-# -- integrity -----------------------------------------------------------------------------
+# --- integrity ---
 
 
 def integrity_rows(files: DataFrame, chunks: DataFrame, vectors: DataFrame, tombstones: DataFrame, deleted_vectors: DataFrame) -> dict[str, DataFrame]:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 
+from tessarine.functions.text import CPP_EXTENSIONS
+
 BUDGET, OVERLAP, LEAST = int(1024 * 3.5), 8, 75
 
 _COLUMNS = (
@@ -131,7 +133,7 @@ class MarkdownParser:
         return out
 
 
-_BOILERPLATE = re.compile(r"$|//|\}[;,]?\s*(//.*)?$|#endif|#pragma once|#(if|ifdef|ifndef|elif|else)\b")
+_BOILERPLATE = re.compile(r"$|//|\}[;,]?\s*(//.*)?$|#endif|#pragma once|#(el(se|if)|if(n?def)?)\b")
 
 
 def cpp_boilerplate(text: str) -> bool:
@@ -421,7 +423,7 @@ class _CppScan:
         self.out.append(symbol(24, name, self.at(begin), self.at(at + 1), self.at(name_at), self.at(name_at + len(name)), outer, fqn, signature))
 
 
-PARSERS: dict[str, object] = {".md": MarkdownParser()} | {e: CppParser() for e in (".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx")}
+PARSERS: dict[str, object] = {".md": MarkdownParser()} | dict.fromkeys(CPP_EXTENSIONS, CppParser())
 DEFAULT = PlainParser()
 
 

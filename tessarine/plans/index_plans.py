@@ -8,6 +8,7 @@ from tessarine.functions import vectors as V
 from tessarine.operators import intervals, knn, maintain, training
 from tessarine.plans.derived import CTES, chunk_files, chunks, query_vector, register, vectors
 from tessarine.sources import models
+from tessarine.sources.shared import shared_dir
 
 CTES["qv"] = "qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
 CTES["dist"] = "dist AS (SELECT vector_id, 1 - list_cosine_similarity(embedding::DOUBLE[], q) AS distance FROM v, qv)"
@@ -102,7 +103,7 @@ def semantic_search(spark, sf_dir):
     return intervals.merge_results(_collapsed(spark, sf_dir), "file_path").withColumn("score", F.round("score", 4))
 
 
-# -- maintenance ---------------------------------------------------------------------------
+# --- maintenance ---
 
 _ACTION = "CASE WHEN event_type = 'error' THEN 'delete' ELSE 'dirty' END"
 
@@ -131,12 +132,7 @@ def stream_drain(spark, sf_dir):
 
     from tessarine.streaming import mutations
 
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="tessarine-")
-    folder = f"{root}/drain-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/drain-{uuid.uuid4().hex}"
     _mutations(spark, sf_dir).select("path", "action", "seq").write.parquet(f"{folder}/changes")
 
     def apply(dirty, deleted, number):
@@ -436,7 +432,7 @@ def deletes(spark, sf_dir):
     return both.select(F.lower("path").alias("path_key")).distinct()
 
 
-# -- training samples ----------------------------------------------------------------------
+# --- training samples ---
 
 CTES["cand"] = f"{_ALL}, cand AS (SELECT query_id AS sample, rank, distance, r.vector_id, file_path AS path, start_line, end_line FROM r JOIN c ON c.vector_id = r.vector_id JOIN cf USING (file_id))"
 

@@ -180,8 +180,8 @@ def page_links(spark, sf_dir):
     r"""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN url || ':' || page_id || ':7' WHEN 1 THEN url || ':' || page_id WHEN 2 THEN url || '(' || page_id || ')'
     WHEN 3 THEN url || '(' || page_id || ', 9)' WHEN 4 THEN url || '#L' || page_id || '-L900' ELSE url || '.);' END AS t, url FROM pages)
     SELECT page_id, CASE WHEN page_id % 6 < 5 THEN url END AS path, CASE WHEN page_id % 6 < 5 THEN page_id::INTEGER ELSE -1 END AS line,
-    CASE page_id % 6 WHEN 0 THEN 7 WHEN 3 THEN 9 ELSE -1 END AS "column", regexp_replace(t, '[.,;:!?\)\]\}]+$', '') AS stripped, true AS is_url,
-    regexp_extract(substr(t, length(url) + 1), '^(?::\d+(?::\d+)?|\(\d+(?:,\s*\d+)?\)|#L\d+(?:-L\d+)?)') AS suffix FROM p""",
+    CASE page_id % 6 WHEN 0 THEN 7 WHEN 3 THEN 9 ELSE -1 END AS "column", regexp_replace(t, '[!?.,:;)}\]]+$', '') AS stripped, true AS is_url,
+    regexp_extract(substr(t, length(url) + 1), '^(:[0-9]+(:[0-9]+)?|[(][0-9]+(, *[0-9]+)?[)]|#L[0-9]+(-L[0-9]+)?)') AS suffix FROM p""",
 )
 def suffixes(spark, sf_dir):
     k, n, url = F.col("page_id") % 6, F.col("page_id").cast("string"), F.col("url")
@@ -284,7 +284,7 @@ def bloom_positions(spark, sf_dir):
 
 @register(
     "pred13_pred14_pred17_line_predicates",
-    r"""SELECT doc_id, line, regexp_matches(trim(t), '^$|^//|^\}[;,]?\s*(//.*)?$|^#endif|^#pragma once|^#(if|ifdef|ifndef|elif|else)\b') AS boilerplate, length(trim(t)) >= 75 AS long_enough
+    r"""SELECT doc_id, line, regexp_matches(trim(t), '^$|^//|^\}[;,]?\s*(//.*)?$|^#endif|^#pragma once|^#(else|elif|ifdef|ifndef|if)\b') AS boilerplate, length(trim(t)) >= 75 AS long_enough
     FROM (SELECT doc_id, line, CASE line % 7 WHEN 0 THEN '}; // ' WHEN 1 THEN '#ifdef ' WHEN 2 THEN '// ' ELSE '' END || line_text AS t FROM l)""",
     "f", "l",
 )

@@ -79,4 +79,4 @@ def reranked(rows: DataFrame, order: Callable[[list[str]], list[int]], by: list[
     held = rows.orderBy(*by).toPandas()
     chosen = [i for i in dict.fromkeys(order(held[text].tolist())) if 0 <= i < len(held)]
     picked = held.iloc[chosen].assign(rank=range(1, len(chosen) + 1))
-    return rows.sparkSession.createDataFrame(picked, rows.schema.add("rank", "int")) if chosen else rows.where("false").withColumn("rank", F.lit(0))
+    return rows.sparkSession.createDataFrame(picked, f"{rows.schema.toDDL()}, rank INT") if chosen else rows.where("false").withColumn("rank", F.lit(0))
