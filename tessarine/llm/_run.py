@@ -4,29 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessarine.sources.shared import shared_dir
+
 #: Largest model or lookup table, in bytes, that is shipped to every executor.
 SHIP_BYTES = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; it is set here only where the session names none."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="tessarine-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder; its files outlive any executor."""
     spark = df.sparkSession
@@ -47,6 +33,11 @@ def forget(*tables: DataFrame) -> None:
                 break
 
 
+def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner", row_bytes: int = 64) -> DataFrame:
+    """big joined with a narrow table on a column: broadcast if its rows fit in SHIP_BYTES, else with both sides shuffled."""
+    return big.join(F.broadcast(small) if small.count() * row_bytes <= SHIP_BYTES else small, key, how)
+
+
 def bounded(df: DataFrame, key: str, most: int, seed: int = 7) -> DataFrame:
     """About ``most`` rows of df, chosen by a hash of ``key``; all of them if there are no more.
 
