@@ -86,7 +86,9 @@ def merge(ranges: DataFrame, by: list[str], aggregates: list[Column], start: str
     order = Window.partitionBy(*by).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("_new", F.when(F.col(start) <= reach + gap, 0).otherwise(1))
-    island = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    # of equal ranges the one that begins an island comes first
+    again = Window.partitionBy(*by).orderBy(start, end, F.desc("_new"))
+    island = F.sum("_new").over(again.rowsBetween(Window.unboundedPreceding, 0))
     grouped = marked.withColumn("_island", island).groupBy(*by, "_island")
     return grouped.agg(F.min(start).alias(start), F.max(end).alias(end), *aggregates).drop("_island")
 

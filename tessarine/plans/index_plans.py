@@ -94,7 +94,7 @@ def knowledge_base(spark, sf_dir):
 @register(
     "q2_semantic_search",
     f"""+{_RESULTS}, m AS (SELECT *, CASE WHEN start_line <= max(end_line) OVER (PARTITION BY file_path ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM col),
-    n AS (SELECT *, sum(fresh) OVER (PARTITION BY file_path ORDER BY start_line, end_line ROWS UNBOUNDED PRECEDING) AS island FROM m)
+    n AS (SELECT *, sum(fresh) OVER (PARTITION BY file_path ORDER BY start_line, end_line, fresh DESC ROWS UNBOUNDED PRECEDING) AS island FROM m)
     SELECT file_path, min(start_line)::INTEGER AS start_line, max(end_line)::INTEGER AS end_line, round(max(score), 4) AS score FROM n GROUP BY file_path, island""",
     "v", "c", "qv", "dist", "cf",
 )

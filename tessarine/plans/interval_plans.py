@@ -52,7 +52,7 @@ def context_bounds(spark, sf_dir):
 
 
 _MERGE = """m AS (SELECT *, CASE WHEN {a} <= max({b}) OVER (PARTITION BY {by} ORDER BY {a}, {b} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS fresh FROM {src}),
-n AS (SELECT *, sum(fresh) OVER (PARTITION BY {by} ORDER BY {a}, {b} ROWS UNBOUNDED PRECEDING) AS island FROM m)"""
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY {by} ORDER BY {a}, {b}, fresh DESC ROWS UNBOUNDED PRECEDING) AS island FROM m)"""
 
 
 def _merged(src, by="path", a="start_line", b="end_line", gap=0):

@@ -68,7 +68,7 @@ def test_plans_prune_and_push(spark, sf):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = docs.where("doc_id > 5").where(selected(F.col("source"), "src1*")).select("doc_id")._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(doc_id), GreaterThan(doc_id,5)" in plan and "ReadSchema: struct<doc_id:bigint,source:string>" in plan
+    assert "PushedFilters: [" in plan and "GreaterThan(doc_id,5)" in plan.partition("PushedFilters: [")[2][:120] and "ReadSchema: struct<doc_id:bigint,source:string>" in plan
     hits = lexical.file_hits(docs.select(F.col("doc_id").alias("path"), "text"), ["(?i)the", "(?i)of"])
     ranked = lexical.rank_files(hits, 2, 200)
     ranked.collect()
