@@ -126,6 +126,15 @@ def merge_references(groups: DataFrame, key: str = "path") -> DataFrame:
     )
 
 
+def reference_labels(groups: DataFrame, key: str = "path") -> DataFrame:
+    """Merged groups with ``label``: the numbers of their references in the file, ``3`` or ``3-5``, and ``total``, the file's references."""
+    order = Window.partitionBy(key).orderBy("start_line", "end_line", F.col("container_line").asc_nulls_first(), F.col("container_name").asc_nulls_first())
+    last = F.sum("references").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = groups.withColumns({"_last": last, "total": F.sum("references").over(Window.partitionBy(key))})
+    span = F.concat((F.col("_last") - F.col("references") + 1).cast("string"), F.lit("-"), F.col("_last").cast("string"))
+    return numbered.withColumn("label", F.when(F.col("references") == 1, F.col("_last").cast("string")).otherwise(span)).drop("_last")
+
+
 def top_level(symbols: DataFrame, key: str = "path", keep: tuple = ("type", "name", "fully_qualified_name", "signature")) -> DataFrame:
     """Outermost ranges [start, end) of a file's symbols, with the columns of the one that begins it.
 

@@ -111,18 +111,15 @@ def with_ids(rows: DataFrame, start: int, order: list[str], into: str = "vector_
 
     Rows are sorted into ranges; a range's first id follows from the counts of those before.
     """
-    from pyspark.sql import types as T
-
     shared_dir(rows.sparkSession)
     # ranges are sampled, and both uses below must see the same ones
     parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    numbered = parts.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = {r["_part"]: r["n"] for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    first, at = {}, start
-    for part in sorted(sizes):
-        first[part], at = at, at + sizes[part]
-    offsets = F.create_map(*[x for k, v in first.items() for x in (F.lit(k), F.lit(v))]) if first else F.lit(None).cast(T.MapType(T.IntegerType(), T.LongType()))
-    return numbered.withColumn(into, (offsets[F.col("_part")] + F.col("_row") - 1).cast("long")).drop("_part", "_row")
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # one row for each range
+    starts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_first"))
+    numbered = parts.withColumn("_row", inside).join(F.broadcast(starts), "_part")
+    return numbered.select(*rows.columns, (F.lit(start) + F.col("_first") + F.col("_row") - 1).cast("long").alias(into))
 
 
 def next_vector_id(vectors: DataFrame, deleted: DataFrame) -> DataFrame:

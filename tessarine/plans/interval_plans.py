@@ -102,22 +102,39 @@ def reference_windows(spark, sf_dir):
     return found.select("path", "line", F.coalesce("container_name", F.lit("")).alias("container"), "start_line", "end_line")
 
 
-@register(
-    "agg19_agg26_merge_references",
-    """+x AS (SELECT *, coalesce(box, '') || '@' || coalesce(box_line, -1) AS box_key FROM win),
+_GROUPS = """x AS (SELECT *, coalesce(box, '') || '@' || coalesce(box_line, -1) AS box_key FROM win),
     z AS (SELECT *, CASE WHEN box_key = lag(box_key) OVER o THEN 0 ELSE 1 END AS chg FROM x WINDOW o AS (PARTITION BY path ORDER BY start_line, end_line, box_line NULLS FIRST, box NULLS FIRST, line)),
     q AS (SELECT *, sum(chg) OVER (PARTITION BY path ORDER BY start_line, end_line, box_line NULLS FIRST, box NULLS FIRST, line ROWS UNBOUNDED PRECEDING) AS run FROM z),
     m AS (SELECT *, CASE WHEN start_line <= max(end_line) OVER (PARTITION BY path, run ORDER BY start_line, end_line, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM q),
-    n AS (SELECT *, sum(fresh) OVER (PARTITION BY path, run ORDER BY start_line, end_line, line ROWS UNBOUNDED PRECEDING) AS island FROM m)
-    SELECT path, min(start_line) AS start_line, max(end_line) AS end_line, coalesce(max(box), '') AS container, count(*) AS n FROM n GROUP BY path, run, island""",
-    "f", "l", "s", "k", "p", "i", "ref",
-)
+    n AS (SELECT *, sum(fresh) OVER (PARTITION BY path, run ORDER BY start_line, end_line, line ROWS UNBOUNDED PRECEDING) AS island FROM m),
+grp AS (SELECT path, min(start_line) AS start_line, max(end_line) AS end_line, coalesce(max(box), '') AS container, min(box_line) AS box_line, count(*) AS n FROM n GROUP BY path, run, island)"""
+
+
+@register("agg19_merge_references", f"+{_GROUPS} SELECT path, start_line, end_line, container, n FROM grp", "f", "l", "s", "k", "p", "i", "ref")
 def merge_references(spark, sf_dir):
     windows = intervals.reference_windows(points(spark, sf_dir), symbols(spark, sf_dir)).withColumn("ref", F.col("line"))
     found = intervals.merge_references(windows)
     return found.select("path", "start_line", "end_line", F.coalesce("container_name", F.lit("")).alias("container"), F.col("references").alias("n"))
 
 
+CTES["pof"] = "p AS (SELECT path, line, line_count FROM l WHERE regexp_matches(line_text, '\\bof\\b'))"
+
+
+@register(
+    "q4_agg26_references",
+    f"""+{_GROUPS}, lab AS (SELECT *, sum(n) OVER (PARTITION BY path ORDER BY start_line, end_line, box_line NULLS FIRST, container ROWS UNBOUNDED PRECEDING)::BIGINT AS fin, sum(n) OVER (PARTITION BY path)::BIGINT AS total FROM grp)
+    SELECT path, start_line, end_line, container, total, CASE WHEN n = 1 THEN fin::VARCHAR ELSE (fin - n + 1) || '-' || fin END AS label FROM lab""",
+    "f", "l", "s", "k", "pof", "i", "ref",
+)
+def symbol_references(spark, sf_dir):
+    """Lines with a word, verified, in their context windows, merged and numbered."""
+    own = lines(spark, sf_dir)
+    refs = references.verified(references.occurrences(own, "of"), own, "of").join(own.select("path", "line", "line_count"), ["path", "line"])
+    windows = intervals.reference_windows(refs.select("path", "line", "line_count").distinct(), symbols(spark, sf_dir)).withColumn("ref", F.col("line"))
+    found = intervals.reference_labels(intervals.merge_references(windows))
+    return found.select("path", "start_line", "end_line", F.coalesce("container_name", F.lit("")).alias("container"), "total", "label")
+
+
 @register(
     "q13_signature_merge",
     """+g AS (SELECT path, start_line AS a, end_line AS b, greatest(start_line - 4 - start_line % 9, 0) AS sa, greatest(start_line - 3 - start_line % 9, 0) AS sb FROM s),

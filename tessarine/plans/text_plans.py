@@ -247,16 +247,16 @@ def output(spark, sf_dir):
 
 @register(
     "fn42_win7_time_left",
-    """WITH e AS (SELECT event_id, avg(value) OVER (ORDER BY ts, event_id ROWS 9 PRECEDING) AS mean FROM events WHERE value IS NOT NULL),
+    """WITH e AS (SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 9 PRECEDING) AS mean FROM events WHERE value IS NOT NULL),
     t AS (SELECT event_id, ceil(mean * (event_id % 5000) / 1000)::BIGINT AS s, event_id % 5000 AS n FROM e)
     SELECT event_id, CASE WHEN n <= 0 THEN '' WHEN s // 60 > 0 THEN ' (~' || s // 60 || 'm remaining)' ELSE ' (~' || s || 's remaining)' END AS eta FROM t""",
 )
 def time_left(spark, sf_dir):
+    """Every user's events as the batches of a run."""
     from pyspark.sql import Window
 
-    # one run's batches: a window of one ordered partition, as there is one progress line
-    last = Window.orderBy("ts", "event_id").rowsBetween(-9, 0)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select("event_id", "ts", "value")
+    last = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("value IS NOT NULL").select("event_id", "user_id", "ts", "value")
     own = events.withColumn("mean", F.avg("value").over(last))
     return own.select("event_id", T.time_remaining(F.col("mean"), F.col("event_id") % 5000).alias("eta"))
 

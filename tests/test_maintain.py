@@ -158,3 +158,32 @@ def test_training(spark):
     assert len(a) == len(b) == 20 and a != b
     groups = training.file_groups(spark.createDataFrame([("/a/X.cc",), ("/a/x.h",), ("/b/x.h",)], "path string"))
     assert {(r.group_key, len(r.paths)) for r in groups.collect()} == {("/a/x", 2), ("/b/x", 1)}
+
+
+def test_cycles_of_the_index(spark, tmp_path):
+    """Files come, change, move and go; vectors follow their chunks."""
+    from tessarine.plans import indexing
+
+    text = lambda n: " ".join(f"{n}word{k}" for k in range(20))
+    store = indexing.open_store(spark, str(tmp_path / "index"))
+    embed = lambda t: F.when(~t.contains("fail"), F.array(F.length(t).cast("float")))
+
+    def cycle(now, files_, gone=()):
+        frame = spark.createDataFrame(files_, "path string, text string") if files_ else spark.createDataFrame([], "path string, text string")
+        indexing.refresh(store, frame, spark.createDataFrame([(g,) for g in gone], "path string"), embed, now)
+        names = {r.file_id: (r.file_path, r.sha256) for r in store.read("files").collect()}
+        rows = store.read("chunks").collect()
+        assert maintain.integrity(*(store.read(n) for n in ("files", "chunks", "vectors", "deleted_chunks", "deleted_vectors"))).where("n > 0 AND fault <> 'orphan_files'").count() == 0
+        assert len({r.chunk_id for r in rows}) == len({r.vector_id for r in rows}) == len(rows)
+        return names, {names[r.file_id][0]: r for r in rows}
+
+    names, one = cycle(1, [("a.txt", text("a")), ("b.txt", text("b"))])
+    assert set(one) == {"a.txt", "b.txt"} and all(v for _, v in names.values())
+    _, two = cycle(2, [("a.txt", "\n\n" + text("a")), ("b.txt", text("b"))])
+    assert two["a.txt"].start_line == 3 and two["a.txt"].vector_id == one["a.txt"].vector_id and two["b.txt"] == one["b.txt"]
+    _, three = cycle(3, [("c.txt", text("a"))], ["a.txt"])
+    assert set(three) == {"b.txt", "c.txt"} and three["c.txt"].vector_id == one["a.txt"].vector_id
+    names, four = cycle(4, [("d.txt", text("fail"))], ["b.txt"])
+    assert set(four) == {"c.txt"} and dict(names.values())["d.txt"] == "" and store.read("deleted_chunks").first().vector_id == one["b.txt"].vector_id
+    _, five = cycle(5, [("e.txt", text("b")), ("f.txt", text("b"))])
+    assert {five["e.txt"].vector_id, five["f.txt"].vector_id} > {one["b.txt"].vector_id} and store.read("deleted_chunks").count() == 0
