@@ -13,6 +13,31 @@ from tessarine.sources.shared import shared_dir
 SHIP_BYTES = 64 << 20
 
 
+#: Rows of one Arrow batch of texts. Ten thousand, Spark's default, can be a gigabyte of long ones.
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, with its session set to hand whole texts to Python in small batches."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return df
+
+
+def give_back() -> None:
+    """Return what freed objects of a batch held to the system; idle workers would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder; its files outlive any executor."""
     spark = df.sparkSession

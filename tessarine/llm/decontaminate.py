@@ -200,6 +200,7 @@ def _matcher(part: Items):
 
     def match(texts: pa.Array) -> pa.Array:
         found = list(_shards(texts, part))
+        _run.give_back()
         row, item, words, doc_word, item_word = (
             np.concatenate([*(x[k] for x in found), np.zeros(0, dtype=np.int64)]).astype(np.int64) for k in range(5)
         )
@@ -220,6 +221,7 @@ def _matcher(part: Items):
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_item_words: int = 5, into: str = "matches") -> DataFrame:
     """docs with the longest match of each item in the array column ``into``."""
+    _run.text_batches(docs)
     found = [_matcher(part)(F.lower("text")) for part in items(benchmark, min_words, min_item_words)]
     return docs.withColumn(into, F.concat(*found) if found else F.array().cast(MATCH))
 

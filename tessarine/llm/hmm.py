@@ -82,6 +82,7 @@ def encode(docs: DataFrame, symbols: int, keep: list[str]) -> DataFrame:
                 lines.append(np.diff(own).astype("<u4").tobytes())
         return pa.StructArray.from_arrays([pa.array(codes, pa.binary()), pa.array(lines, pa.binary())], names=["codes", "lines"])
 
+    _run.text_batches(docs)
     coder = F.arrow_udf(coded, "codes binary, lines binary").asNondeterministic()
     return docs.select(*keep, coder(F.lower("text")).alias("_c")).select(*keep, "_c.codes", "_c.lines")
 

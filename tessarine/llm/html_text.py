@@ -193,7 +193,7 @@ def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
 
 def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.01, ship_bytes: int = _run.SHIP_BYTES, into: str = "extracted") -> DataFrame:
     """pages(url, html) with a struct column ``into`` of text and removed (subtrees)."""
-    found = _run.written(templates(pages, min_pages, min_share))
+    found = _run.written(templates(_run.text_batches(pages), min_pages, min_share))
     host, key, keys = _run.fresh(pages, "_host", "_key", "_keys")
     hosted = with_host(pages, host)
     kind = "struct<text: string, removed: int>"

@@ -92,7 +92,7 @@ def fit(docs: DataFrame, max_train_docs: int = 8000, min_count: int = 3, smoothi
 
     The bound makes the model's size independent of the corpus.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    labelled = _run.text_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sample = _run.bounded(labelled.select("doc_id", "text", "lang"), "doc_id", max_train_docs)
     counts = (
         sample.select("lang", F.lower("text").alias("text"))
@@ -175,6 +175,7 @@ def scorer(model: Model, min_margin: float, min_evidence: float):
             best.append(np.where(seen > 0, top, -1))
             margin.append(np.where(seen > 0, gap, 0.0))
             share.append(seen / np.maximum(np.diff(pointers), 1))
+        _run.give_back()
         code = np.concatenate([*best, np.zeros(0, dtype=int)]).astype(int)
         gap, part = np.concatenate([*margin, np.zeros(0)]), np.concatenate([*share, np.zeros(0)])
         accepted = (code >= 0) & (gap >= min_margin) & (part >= min_evidence)
@@ -192,7 +193,7 @@ def identify(docs: DataFrame, model: Model, min_margin: float = 0.05, min_eviden
     A text is accepted if at least ``min_evidence`` of its words give evidence and the
     best language leads by ``min_margin`` (natural log, per word).
     """
-    return docs.withColumn(into, scorer(model, min_margin, min_evidence)(F.lower("text")))
+    return _run.text_batches(docs).withColumn(into, scorer(model, min_margin, min_evidence)(F.lower("text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessarine.llm import _run
+
 CAPTURE = b"OggS"
 _HEADER = "<4sBBqIIIB"
 _FLIP = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))
@@ -238,7 +240,7 @@ def from_documents(docs: DataFrame, into: str = "media") -> DataFrame:
         return pa.array([None if t is None else document_container(t, n) for t, n in both], pa.binary())
 
     note = F.concat(F.coalesce("lang", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")))
-    return docs.withColumn(into, F.arrow_udf(muxed, "binary")("text", note))
+    return _run.text_batches(docs).withColumn(into, F.arrow_udf(muxed, "binary")("text", note))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

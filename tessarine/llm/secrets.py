@@ -107,9 +107,11 @@ def scan(
 ) -> DataFrame:
     """docs with the findings of each row in the array column ``into``."""
     make = _finder(path, min_length, max_ratio, known_digests)
+    _run.text_batches(docs)
 
     def findings(texts: pa.Array) -> pa.Array:
         look = make()
+        _run.give_back()
         keys = ("start", "length", "tokens", "ratio")
         kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("tokens", pa.int32()), ("ratio", pa.float64())]))
         return pa.array([[dict(zip(keys, x, strict=True)) for x in look(t)] for t in texts.to_pylist()], kind)
@@ -120,9 +122,11 @@ def scan(
 def redact(docs: DataFrame, path: str = VOCABULARY, min_length: int = 16, max_ratio: float = 2.4, known_digests=()) -> DataFrame:
     """docs with every secret replaced by ``[SECRET]``; n_chars follows where a text changed."""
     make = _finder(path, min_length, max_ratio, known_digests)
+    _run.text_batches(docs)
 
     def masked(texts: pa.Array) -> pa.Array:
         look = make()
+        _run.give_back()
         out = []
         for text in texts.to_pylist():
             for start, length, *_ in reversed(look(text)):

@@ -267,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 12_000, min_to
     usable = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
     usable = usable.where("toxic = most").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = _run.bounded(usable, "doc_id", max_train_docs)  # at most that many narrow rows are broadcast
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+    sample = _run.text_batches(docs).select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
     cluster = F.arrow_udf(_cluster, "long")
     sample = sample.withColumn("cluster", cluster("text")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(20)))
     sample = _run.written(sample.dropDuplicates(["cluster"]))
