@@ -16,10 +16,13 @@ _SPECIAL = frozenset(".+^${}()|[]\\")
 
 def term_regex(term: str, engine: str = "java") -> str:
     """One glob term as a regular expression without flags."""
-    left, right = ("(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])") if engine == "java" else (r"\b", r"\b")
+    # in Java the boundary stands behind the first character, so only places that have it pay for the look back
+    left, right = (f"{term[0]}(?<![A-Za-z0-9_]{term[0]})", "(?![A-Za-z0-9_])") if engine == "java" else (r"\b", r"\b")
     wild = {"*": r"[^\n]*", "?": r"[^\n]"}
     body = "".join(wild.get(c) or ("\\" + c if c in _SPECIAL else c) for c in term)
-    return (left if _WORD.match(term[0]) else "") + body + (right if _WORD.match(term[-1]) else "")
+    if _WORD.match(term[0]):
+        body = left + (body[1:] if engine == "java" else body)
+    return body + (right if _WORD.match(term[-1]) else "")
 
 
 def tokens(query: str) -> list[tuple[str, ...]]:

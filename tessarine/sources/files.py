@@ -86,4 +86,10 @@ def add_document(spark: SparkSession, folder: str, name: str, content: str) -> s
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, text): the documents table as a corpus of files."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
+    return spread(docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text"))
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """files over at least as many tasks as the session has cores: a small table often is one file and would keep one busy."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files if files._jdf.queryExecution().toRdd().getNumPartitions() >= cores else files.repartition(cores)
