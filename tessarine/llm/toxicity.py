@@ -15,7 +15,7 @@ Features of a text, over its whitespace-separated tokens:
 The lexicon is ``BASE`` plus words and stems (4 to 6 bytes) that the labelled sample ties to
 toxic documents. One part of the sample gives the lexicon, another the trees, a third the
 isotonic calibration of their output to probabilities. Fitting takes at most about
-``max_train_docs`` labelled rows; of copies with the same smallest word hash it takes one.
+``max_train_docs`` labelled documents; of equal texts with the same label it takes one.
 
 Case folding covers ASCII and Latin-1 letters.
 
@@ -185,17 +185,6 @@ def _word_counts(batches):
                 )
 
 
-def _cluster(texts: pa.Array) -> pa.Array:
-    """The smallest word hash of each text: near copies mostly share it."""
-    out = np.zeros(len(texts), dtype=np.uint64)
-    for lo, _, rows, data in _slices(texts):
-        t = Tokens(data, rows)
-        some = np.flatnonzero(np.diff(t.pointers))
-        if len(some):
-            out[lo + some] = np.minimum.reduceat(t.hash, t.pointers[some])
-    return pa.array(out.view(np.int64))
-
-
 def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, penalty: float = 1.0) -> Trees:
     """Newton boosting with the logistic loss over binned features."""
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
@@ -268,9 +257,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = 12_000, min_to
     usable = usable.where("toxic = most").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = _run.bounded(usable, "doc_id", max_train_docs)  # at most that many narrow rows are broadcast
     sample = _run.text_batches(docs).select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    cluster = F.arrow_udf(_cluster, "long")
-    sample = sample.withColumn("cluster", cluster("text")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(20)))
-    sample = _run.written(sample.dropDuplicates(["cluster"]))
+    sample = sample.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id"))
+    sample = _run.written(sample.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(20))))
     sizes = {r["toxic"]: r["n"] for r in sample.where("part < 10").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if min(sizes.get(0, 0), sizes.get(1, 0)) < MIN_CLASS:
         return None

@@ -90,3 +90,13 @@ def test_awkward_and_empty(spark):
     assert toxicity.score(cases.empty(spark), model).count() == 0
     none = toxicity.fit(own, spark.createDataFrame([], "doc_id long, toxic int"))
     assert none is None and {(r.toxicity.probability, r.toxicity.toxic) for r in toxicity.score(own, None).collect()} == {(None, False)}
+
+
+def test_documents_that_share_a_token_all_train(spark):
+    """Tokens without letters, or one frequent word, don't make documents copies of each other."""
+    docs, labels = made(1600)
+    frame = spark.createDataFrame([(k, t + " - 26 zz") for k, t in docs], "doc_id long, text string")
+    model = toxicity.fit(frame.where("doc_id < 1200"), spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id < 1200"))
+    assert model is not None
+    got = {r.doc_id: r.toxicity.toxic for r in toxicity.score(frame.where("doc_id >= 1200"), model).collect()}
+    assert sum(got[d] == bool(y) for d, y in labels if d >= 1200) >= 0.95 * 400
