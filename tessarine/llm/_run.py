@@ -58,8 +58,8 @@ def forget(*tables: DataFrame) -> None:
                 break
 
 
-def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner", row_bytes: int = 64) -> DataFrame:
-    """big joined with a narrow table on a column: broadcast if its rows fit in SHIP_BYTES, else with both sides shuffled."""
+def join_small(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner", row_bytes: int = 64) -> DataFrame:
+    """big joined with a narrow table on columns: broadcast if its rows fit in SHIP_BYTES, else with both sides shuffled."""
     return big.join(F.broadcast(small) if small.count() * row_bytes <= SHIP_BYTES else small, key, how)
 
 
