@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,39 +62,84 @@ def test_expected_counts_by_enumeration():
     assert value == pytest.approx(sum(brute(m, x) for x in LINES))
 
 
-def test_scores_against_brute_force(spark):
-    docs = spark.createDataFrame([(1, "a b\nc a a"), (2, "b"), (3, None), (4, ""), (5, " \n\n "), (6, "C  a\tb\n")], "doc_id long, text string")
-    encoded = hmm.encode(docs, 4, ["doc_id"]).persist()
-    m = model(seed=9)
-    got = {r.doc_id: r for r in hmm.score(encoded, m).collect()}
-    rows = {r.doc_id: r for r in encoded.collect()}
-    for doc_id, r in rows.items():
-        codes, sizes = np.frombuffer(r.codes, "<u2"), np.frombuffer(r.lines, "<u4")
-        lines = [x.tolist() for x in np.split(codes, np.cumsum(sizes)[:-1]) if len(x)] if len(sizes) else []
-        assert got[doc_id].words == len(codes)
-        assert got[doc_id].log_likelihood == pytest.approx(sum(brute(m, x) for x in lines))
-        assert (got[doc_id].bits_per_word is None) == (len(codes) == 0)
-    assert [np.frombuffer(rows[1].lines, "<u4").tolist(), np.frombuffer(rows[6].lines, "<u4").tolist()] == [[2, 3], [3]]
+def decoded(encoded):
+    """{doc_id: (lines of classes, sum of log shares)} of packs."""
+    out = {}
+    for r in encoded.collect():
+        codes, lines, per_row = (np.frombuffer(x, k) for x, k in ((r.codes, "<u2"), (r.lines, "<u4"), (r.per_row, "<u4")))
+        shares, at, line = np.frombuffer(r.shares, "<f8"), 0, 0
+        for k, n in enumerate(per_row.tolist()):
+            own = []
+            for size in lines[line : line + n].tolist():
+                own.append(codes[at : at + size].tolist())
+                at += size
+            line += n
+            out[r.rows[k].f0] = ([x for x in own if x], shares[k])
+        assert at == len(codes) and line == len(lines)
+    return out
+
+
+DOCS = [(1, "a b\nc a a"), (2, "b"), (3, None), (4, ""), (5, " \n\n "), (6, "C  a\tb d\n"), (7, "e f g h")]
+
+
+@pytest.mark.parametrize("ship_bytes", [1 << 20, 0])
+def test_scores_against_brute_force(spark, ship_bytes, monkeypatch):
+    monkeypatch.setattr(hmm, "PACK_WORDS", 5)
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    encoded = hmm.encode(docs, ["doc_id"], own=2, shared=3, ship_bytes=ship_bytes)
+    m = model(symbols=5, seed=9)
+    got = {r.doc_id: r for r in hmm.score(encoded, m, ["doc_id"]).collect()}
+    texts = {d: [x.split() for x in (t or "").lower().split("\n") if x.split()] for d, t in DOCS}
+    times = Counter(w for lines in texts.values() for line in lines for w in line)
+    code = {}
+    for doc_id, (lines, _) in decoded(encoded).items():
+        assert [len(x) for x in lines] == [len(x) for x in texts[doc_id]]
+        for a, b in zip(lines, texts[doc_id], strict=True):
+            for c, w in zip(a, b, strict=True):
+                assert code.setdefault(w, c) == c
+    assert {code["a"], code["b"]} == {0, 1} and all(code[w] >= 2 for w in "cdefgh")
+    total = Counter()
+    for w, n in times.items():
+        total[code[w]] += n
+    for doc_id, lines in texts.items():
+        want = sum(brute(m, [code[w] for w in x]) + sum(math.log(times[w] / total[code[w]]) for w in x) for x in lines)
+        assert got[doc_id].words == sum(map(len, lines))
+        assert got[doc_id].log_likelihood == pytest.approx(want)
+        assert (got[doc_id].bits_per_word is None) == (not lines)
 
 
 def test_training_raises_the_likelihood_and_ignores_partitions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    encoded = hmm.encode(docs, 256, ["doc_id"]).persist()
-    value = []
-    for n in (1, 2, 4):
-        m = hmm.train(encoded, states=3, symbols=256, max_iterations=n, tolerance=-1)
-        value.append(hmm.score(encoded, m).agg({"log_likelihood": "sum"}).first()[0])
-    assert value[0] < value[1] < value[2]
+    encoded = hmm.encode(docs.repartition(3), ["doc_id"], 192, 64)
+    m = hmm.train(encoded, states=3, symbols=256, tolerance=1e-3)
+    gains = np.diff(m.history)
+    assert (gains > 0).all() and (gains[:-1] >= 1e-3).all() and gains[-1] < 1e-3 and 3 < m.iterations < 100
     a = hmm.train(encoded.coalesce(1), states=3, symbols=256, max_iterations=2)
     b = hmm.train(encoded.repartition(5), states=3, symbols=256, max_iterations=2)
-    assert a.transition == pytest.approx(b.transition) and a.emission == pytest.approx(b.emission)
+    assert a.transition == pytest.approx(b.transition, rel=1e-4) and a.emission == pytest.approx(b.emission, rel=1e-3, abs=1e-7)
+
+
+def test_a_word_of_the_whole_corpus_counts(spark):
+    """Documents whose words occur elsewhere are likelier than equal ones whose words don't."""
+    base = [(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(30))) for k in range(40)]
+    docs = [*base, (100, "p q r s t u v"), (101, "p q r s t u v"), (200, "g h i j k l m")]
+    got = {r.doc_id: r.log_likelihood for r in hmm.train_and_score(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"], 50, 8, states=2).collect()}
+    assert got[100] == pytest.approx(got[101]) and got[100] > got[200] + 3
 
 
 def test_awkward_and_empty(spark):
     docs = cases.awkward(spark)
-    got = hmm.train_and_score(docs, ["doc_id"], symbols=64, states=2, max_iterations=2).collect()
+    got = hmm.train_and_score(docs, ["doc_id"], 40, 24, states=2, max_iterations=2).collect()
     assert len(got) == docs.count()
     assert all((r.words == 0) == (r.bits_per_word is None) for r in got)
     twice = [r for r in got if r.doc_id == 1]
     assert twice[0] == twice[1] and next(r for r in got if r.doc_id == 6).words == 40_000
-    assert hmm.train_and_score(cases.empty(spark), ["doc_id"], symbols=64).count() == 0
+    assert hmm.train_and_score(cases.empty(spark), ["doc_id"], 40, 24).count() == 0
+
+
+def test_kept_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b a", "x", 7, 2.0, [1], "t"), (2, None, None, None, None, None, None)], "doc_id long, text string, codes string, words int, `_s` double, lines array<int>, rows string")
+    out = hmm.train_and_score(docs, docs.columns, 4, 4, states=2, max_iterations=1)
+    assert out.columns == [*docs.columns, "words_", "log_likelihood", "bits_per_word"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert (got[1].codes, got[1].words, got[1].lines, got[1].words_) == ("x", 7, [1], 3) and got[2].words_ == 0 and got[2].rows is None
