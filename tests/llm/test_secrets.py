@@ -1,8 +1,10 @@
+import base64
 import random
 import re
 import string
 
 import pytest
+import regex
 
 from tessarine.llm import secrets
 from tests.llm import cases
@@ -39,6 +41,103 @@ def test_known_cases(look, text, hits):
     assert len(look(text)) == hits
 
 
+@pytest.mark.parametrize("alphabet", [string.ascii_lowercase, string.ascii_uppercase])
+@pytest.mark.parametrize("length, least", [(16, 0.88), (24, 0.95), (40, 0.98)])
+def test_random_letters_of_one_case(look, alphabet, length, least):
+    rng = random.Random(length)
+    keys = ["".join(rng.choices(alphabet, k=length)) for _ in range(300)]
+    assert sum(bool(look(f"a {k} b")) for k in keys) >= least * 300
+
+
+@pytest.mark.parametrize("path", ["/storage/container/production/", "user/projects/internal/service/token/", "build_of_the_main_branch-"])
+def test_a_path_does_not_dilute_its_secret(look, path):
+    rng = random.Random(3)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=16)) for _ in range(200)]
+    found = [look(path + k) for k in keys]
+    assert sum(bool(x) for x in found) >= 190
+    assert all(x[0][0] + x[0][1] == len(path) + 16 for x in found if x)
+
+
+def test_assignment_any_distance_back(look):
+    assert len(look("password =" + " " * 500 + f'"{SHA}"')) == 1 and not look("password of" + " " * 500 + SHA)
+    assert not look(f"sha1-{SHA} file/{SHA}.txt") and len(look("a" + "xQ7" * 300)) == 1
+
+
+class Plain:
+    """The scan written another way: merges of pairs by rank, and rules on whole strings."""
+
+    def __init__(self):
+        lines = secrets.vocabulary().splitlines()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.pairs = secrets.letter_pairs(secrets.vocabulary())
+
+    def tokens(self, run):
+        total = 0
+        for piece in regex.findall(secrets.PIECES, run):
+            parts = [bytes([b]) for b in piece.encode()]
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda k: self.ranks.get(parts[k] + parts[k + 1], 1 << 40))
+                if parts[best] + parts[best + 1] not in self.ranks:
+                    break
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            total += len(parts)
+        return total
+
+    def digest(self, s, before):
+        same = s == s.lower() or s == s.upper()
+        hexadecimal = all(c in "0123456789abcdefABCDEF" for c in s)
+        named = re.search(r"(passw(or)?d|passphrase|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)[\"']?\s*[:=]\s*[\"']?$", before, re.I)
+        return len(s) in (32, 40, 56, 64, 96, 128) and same and hexadecimal and not named
+
+    def is_secret(self, text, start, run):
+        bare = run.rstrip("=")
+        parts = [x for x in re.split(r"[+/_-]+", bare) if x]
+        if not re.search("[A-Za-z]", bare) or self.digest(bare, text[:start]):
+            return False
+        if re.fullmatch(r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}", bare):
+            return False
+        if parts != [bare] and all(re.fullmatch(r"([A-Z]?[a-z]+|[A-Z]+)\d{0,4}|\d+", x) or self.digest(x, text[:start]) for x in parts):
+            return False
+        if re.fullmatch(r"[A-Z]?[a-z]+|[A-Z]+", run):
+            run = run.lower()
+            if sum(self.pairs[run[k : k + 2]] for k in range(len(run) - 1)) / (len(run) - 1) >= secrets.WORD_FIT:
+                return False
+        return len(run) / self.tokens(run) <= 2.4
+
+    def __call__(self, text):
+        out = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", text or ""):
+            if self.is_secret(text, m.start(), m.group()):
+                out.append((m.start(), m.end()))
+            elif not re.fullmatch(r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}=*", m.group()):
+                for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m.group()):
+                    if p.group() != m.group() and self.is_secret(text, m.start() + p.start(), p.group()):
+                        out.append((m.start() + p.start(), m.start() + p.end()))
+        return out
+
+
+def test_query_against_another_implementation(spark):
+    plain, sf = Plain(), "/root/testdata/sf0.01"  # the smallest tables hold no secret
+    want = {(r.doc_id, a, b - a) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for a, b in plain(r.text)}
+    got = secrets.query(spark, sf).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {(r.doc_id, r.start, r.length) for r in got} == want and len(want) > 3
+    for r in got:
+        run = texts[r.doc_id][r.start : r.start + r.length]
+        assert r.tokens == plain.tokens(run.lower() if re.fullmatch("[A-Z]?[a-z]+|[A-Z]+", run) else run)
+
+
+def test_counts_of_long_runs_are_those_of_the_whole(look):
+    run = "aB3xQ9zK" * 200 + "/" + "Zk4" * 40
+    [(_, length, tokens, _)] = look(run)
+    assert length == len(run) and tokens == Plain().tokens(run)
+
+
+def test_a_column_of_the_result_s_name_stays(spark):
+    out = secrets.scan(spark.createDataFrame([(1, KEY, "mine")], "doc_id long, text string, secrets string"))
+    assert out.columns == ["doc_id", "text", "secrets", "secrets_"] and out.first().secrets == "mine"
+
+
 def test_random_strings_are_found_and_words_are_not(look):
     rng = random.Random(1)
     keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=rng.randrange(20, 60))) for _ in range(300)]
