@@ -7,6 +7,9 @@ every item is binary-searched in every shard for the interval of training suffix
 share its first ``min(min_words, words of the item)`` words; each of them is extended to
 its longest verbatim match. No task sees more than one shard, and no suffix is skipped.
 
+The benchmark is broadcast in slices of ``ITEM_BYTES`` of text. A shard's suffix array is
+built once and every slice is searched in it, one slice in memory at a time.
+
 Words are runs of characters other than blank, tab, newline, form feed and carriage
 return, in lower case. A document is affected by an item if they share a run of at
 least ``min_words`` words, or the whole item where it is shorter. Items of fewer than
@@ -16,7 +19,8 @@ Defined results: null and empty texts (and items) match nothing. For each row an
 the longest match is reported; among equals the one that begins first in the document,
 then first in the item. Positions count words from 0. Repeated rows have repeated
 matches; repeated items are reported by their own ids (a NULL item_id as NULL). An
-empty documents or benchmark table gives no matches.
+empty documents or benchmark table gives no matches. Where docs has a column of the result's
+name, the result's gets an underscore.
 """
 
 from __future__ import annotations
@@ -29,8 +33,7 @@ from pyspark.sql import functions as F
 from tessarine.llm import _run, _text
 
 SHARD_BYTES = 4 << 20
-#: Largest slice of the benchmark, in bytes of text, that is searched at once. A larger
-#: benchmark is searched slice by slice.
+#: Largest slice of the benchmark, in bytes of text, that a task holds at once.
 ITEM_BYTES = 8 << 20
 MATCH = "array<struct<item_id: bigint, words: int, doc_word: int, item_word: int>>"
 _END = np.uint64(0)
@@ -134,11 +137,15 @@ def _bound(train: Suffixes, order: np.ndarray, lo: np.ndarray, hi: np.ndarray, t
         hi[open_] = np.where(below, hi[open_], mid)
 
 
-def search(train: Suffixes, test: Suffixes, queries: np.ndarray, depth: np.ndarray, longest: int):
-    """(row, item row, words, word of the row, word of the item) of the longest match of each pair."""
-    order, keys = suffix_array(train, longest)
-    wanted = test.pair()[queries]
-    lo, hi = np.searchsorted(keys, wanted, "left"), np.searchsorted(keys, wanted, "right")
+def search(train: Suffixes, order: np.ndarray, keys: np.ndarray, test: Suffixes, queries: np.ndarray, depth: np.ndarray):
+    """(row, item row, words, word of the row, word of the item) of the longest match of each pair.
+
+    order and keys: the suffix array of ``train``, sorted at least to the largest ``depth``.
+    """
+    single = depth == 1
+    rest = np.uint64(0xFFFFFFFF)
+    least = np.where(single, test.symbol[queries] << np.uint64(32), test.pair()[queries])
+    lo, hi = np.searchsorted(keys, least, "left"), np.searchsorted(keys, np.where(single, least | rest, least), "right")
     some = lo < hi
     queries, depth, lo, hi = queries[some], depth[some], lo[some], hi[some]
     first = _bound(train, order, lo, hi, test, queries, depth, False)
@@ -165,9 +172,9 @@ class Items:
         need = np.minimum(size, min_words)
         row = _text.rows_of(self.pointers)
         left = self.pointers[1:][row] - np.arange(len(row))
-        self.queries = np.flatnonzero((size[row] >= max(min_item_words, 2)) & (left >= need[row]))
+        self.queries = np.flatnonzero((size[row] >= min_item_words) & (left >= need[row]))
         self.depth = need[row][self.queries]
-        self.longest = int(size.max(initial=0))
+        self.deepest = int(self.depth.max(initial=0))
 
 
 def items(benchmark: DataFrame, min_words: int, min_item_words: int) -> list[Items]:
@@ -184,34 +191,37 @@ def items(benchmark: DataFrame, min_words: int, min_item_words: int) -> list[Ite
     return [*out, Items(ids, texts, min_words, min_item_words)] if texts else out
 
 
-def _shards(texts: pa.Array, part: Items):
-    """Matches of each shard of the texts, with rows counted over all texts."""
-    test = Suffixes(part.hashes, part.pointers)
-    offsets, _ = _text.buffers(texts)
-    for lo, hi in _text.slices(offsets, SHARD_BYTES):
-        train = Suffixes(*_word_hashes(texts.slice(lo, hi - lo)))
-        if len(train.hashes) and len(part.queries):
-            row, *rest = search(train, test, part.queries, part.depth, part.longest)
-            yield row + lo, *rest
+def _matcher(parts: list[Items], spark):
+    shipped = [spark.sparkContext.broadcast(part) for part in parts if len(part.queries)]
+    deepest = max((part.deepest for part in parts), default=0)
 
-
-def _matcher(part: Items):
-    ids = np.array(part.ids, dtype=object)
+    def loaded(part):
+        """A slice, which isn't kept beyond its use where there are several."""
+        own = part.value
+        if len(shipped) > 1 and getattr(part, "_path", None):
+            del part._value
+        return own
 
     def match(texts: pa.Array) -> pa.Array:
-        found = list(_shards(texts, part))
+        found = []
+        offsets, _ = _text.buffers(texts)
+        for lo, hi in _text.slices(offsets, SHARD_BYTES):
+            train = Suffixes(*_word_hashes(texts.slice(lo, hi - lo)))
+            if not len(train.hashes) or not shipped:
+                continue
+            order, keys = suffix_array(train, deepest)
+            several = []
+            for part in map(loaded, shipped):
+                row, item, *rest = search(train, order, keys, Suffixes(part.hashes, part.pointers), part.queries, part.depth)
+                several.append((row + lo, np.array(part.ids, dtype=object)[item], *rest))
+            row, *rest = (np.concatenate(x) for x in zip(*several, strict=True))
+            sort = np.argsort(row, kind="stable")
+            found.append((row[sort], *(x[sort] for x in rest)))
         _run.give_back()
-        row, item, words, doc_word, item_word = (
-            np.concatenate([*(x[k] for x in found), np.zeros(0, dtype=np.int64)]).astype(np.int64) for k in range(5)
-        )
-        pointers = np.searchsorted(row, np.arange(len(texts) + 1))
+        row, item, words, doc_word, item_word = (np.concatenate([np.zeros(0, dtype=object if k == 1 else np.int64), *(x[k] for x in found)]) for k in range(5))
+        pointers = np.searchsorted(row.astype(np.int64), np.arange(len(texts) + 1))
         values = pa.StructArray.from_arrays(
-            [
-                pa.array(ids[item].tolist(), pa.int64()),
-                pa.array(words.astype(np.int32)),
-                pa.array(doc_word.astype(np.int32)),
-                pa.array(item_word.astype(np.int32)),
-            ],
+            [pa.array(item.tolist(), pa.int64()), *(pa.array(x.astype(np.int32)) for x in (words, doc_word, item_word))],
             names=["item_id", "words", "doc_word", "item_word"],
         )
         return pa.ListArray.from_arrays(pa.array(pointers.astype(np.int32)), values)
@@ -221,9 +231,11 @@ def _matcher(part: Items):
 
 def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_item_words: int = 5, into: str = "matches") -> DataFrame:
     """docs with the longest match of each item in the array column ``into``."""
+    if min_words < 1 or min_item_words < 1:
+        raise ValueError("min_words and min_item_words are at least 1")
     _run.text_batches(docs)
-    found = [_matcher(part)(F.lower("text")) for part in items(benchmark, min_words, min_item_words)]
-    return docs.withColumn(into, F.concat(*found) if found else F.array().cast(MATCH))
+    [into] = _run.fresh(docs, into)
+    return docs.withColumn(into, _matcher(items(benchmark, min_words, min_item_words), docs.sparkSession)(F.lower("text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -35,6 +35,20 @@ def test_small_shards_and_items(spark, monkeypatch):
     assert run(spark, docs, bench, min_words=6) == cases.contaminated(docs, bench, 6)
 
 
+def test_items_of_one_word(spark):
+    docs = [(1, "a b c"), (2, "c c d"), (3, "e"), (4, "")]
+    bench = [(1, "c"), (2, "e"), (3, "a b"), (4, "z"), (5, "d e")]
+    for least in (1, 2):
+        assert run(spark, docs, bench, min_item_words=least) == cases.contaminated(docs, bench, 13, least)
+    assert run(spark, docs, bench, min_words=1, min_item_words=1) == cases.contaminated(docs, bench, 1, 1)
+
+
+def test_a_column_of_the_result_s_name_stays(spark):
+    bench = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
+    out = decontaminate.matches(spark.createDataFrame([(1, "a b c d e", 7)], "doc_id long, text string, matches int"), bench)
+    assert out.columns == ["doc_id", "text", "matches", "matches_"] and (out.first().matches, len(out.first().matches_)) == (7, 1)
+
+
 def test_short_items_need_all_their_words(spark):
     bench = [(1, "one two three four five six"), (2, "one two three"), (3, None), (4, "")]
     docs = [(1, "x ONE two\nthree  four five six y"), (2, "one two three four five seven"), (3, "one two three")]
