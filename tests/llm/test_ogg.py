@@ -46,6 +46,7 @@ def test_times():
     by = {s.serial: s for s in ogg.parse(opus)}
     assert (by[1].codec, by[1].rate, by[2].codec, by[2].rate) == ("opus", 48_000, "vorbis", 8_000)
     assert by[1].summary()["last_time"] == round((3 * 960 - 312) / 48_000, 6) and by[2].summary()["last_time"] == 1.0
+    assert by[1].times() == [None, None, *(round((960 * k - 312) / 48_000, 6) for k in (1, 2, 3))] and by[2].times()[-1] == by[2].summary()["first_time"] == 1.0
     speex = b"Speex   " + bytes(28) + struct.pack("<I", 16_000) + bytes(40)
     flac = b"\x7fFLAC\x01\x00" + struct.pack(">H", 1) + b"fLaC" + bytes(4) + bytes(10) + ((44_100 << 4).to_bytes(3, "big")) + bytes(21)
     for head, codec, rate in ((speex, "speex", 16_000), (flac, "flac", 44_100)):
@@ -55,6 +56,21 @@ def test_times():
     assert s.codec is None and s.summary()["last_time"] is None
 
 
+def test_times_between_the_pages_of_a_container():
+    """Many pages: even spacing between their positions, none across a loss."""
+    own = [(ogg._OPUS, 0), (ogg._TAGS, 0), *((bytes(300), 960 * (k + 1)) for k in range(40))]
+    whole = ogg.mux([(1, own)], 7)
+    want = [round((960 * (k + 1) - 312) / 48_000, 6) for k in range(40)]
+    [s] = ogg.parse(whole)
+    assert s.times()[2:] == want and s.pages > 10
+    parts = pages(whole)
+    [s] = ogg.parse(b"".join([*parts[:4], *parts[5:]]))
+    times = s.times()[2:]
+    assert s.lost_pages == 1 and None in times and times[-1] == want[-1] and set(times) - {None} <= set(want)
+    missing = times.index(None)
+    assert times[:missing] == want[:missing]
+
+
 def pages(data):
     out, at = [], 0
     while at < len(data):
@@ -72,7 +88,7 @@ def test_damage():
     broken[-1] ^= 1
     [s] = ogg.parse(b"junk OggS junk" + b"".join([*parts[:3], bytes(broken), *parts[4:]]) + b"OggS")
     assert s.bad_pages == 1 and s.lost_pages == 1
-    assert set(s.packets) <= {p for p, _ in packets} and len(s.packets) == 9
+    assert set(s.packets) <= {p for p, _ in packets} and len(s.packets) == 8  # the page had the end of one packet and the whole next
     [s] = ogg.parse(b"".join(parts[:-1]))
     assert not s.ended and s.packets == [p for p, _ in packets[: len(s.packets)]]
     [s] = ogg.parse(b"".join([parts[0], *parts[2:]]))
@@ -95,6 +111,8 @@ def test_awkward_and_empty(spark):
     docs = cases.awkward(spark)
     media = ogg.from_documents(docs)
     assert media.columns == [*docs.columns, "media"]
+    taken = ogg.demux(media.withColumn("streams", media.doc_id))
+    assert taken.columns[-2:] == ["streams", "streams_"]
     rows = ogg.demux(media).collect()
     for r in rows:
         if r.text is None:
