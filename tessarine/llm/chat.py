@@ -3,8 +3,8 @@
 A conversation is its rows in the order of (turn, role, content); each row's content is an
 array of typed parts. A visitor walks the parts in order and flattens them into one string:
 
-- text parts stand as they are (``<|`` in them becomes ``< |``, so no text can pose as a
-  placeholder or as a turn mark);
+- text parts stand as they are, except that ``<|`` becomes ``< |``, also where one part ends with
+  ``<`` and what follows begins with ``|``, so no text can pose as a placeholder or as a turn mark;
 - image, audio and document parts become ``<|image_1|>``, ``<|audio_1|>``, ``<|document_1|>``,
   numbered by type through the conversation, and leave an attachment reference (number, type,
   url, place of the placeholder in the string, expanded tokens);
@@ -12,12 +12,14 @@ array of typed parts. A visitor walks the parts in order and flattens them into
 
 Expanded tokens, what a model sees in place of the placeholder: an image has one for each
 28 x 28 patch, audio 12.5 a second, a document 512 a page, each rounded up, and two marks
-around them. Missing or negative sizes count as 0. Text counts in tokens of a byte-level BPE.
+around them. Missing, negative, infinite and NaN sizes count as 0; counts have 64 bits, and one
+that is larger is the largest of those. Text counts in tokens of a byte-level BPE, part by part.
 
-Every turn is ``<|role|>\\n`` + parts + ``<|end|>\\n``.
+Every turn is ``<|role|>\\n`` + parts + ``<|end|>\\n``; a role loses its characters ``<``, ``|``
+and ``>``.
 
 Defined results: rows with a NULL conv_id belong to no conversation and are left out. A NULL
-role is ``unknown``. A NULL or empty content, and a NULL text, add nothing between the marks.
+or empty role is ``unknown``. A NULL or empty content, and a NULL text, add nothing between the marks.
 Repeated rows are repeated turns. An empty table gives an empty result.
 """
 
@@ -33,11 +35,11 @@ from pyspark.sql import functions as F
 from tessarine.llm import secrets
 
 PART = "struct<type: string, text: string, url: string, width: int, height: int, seconds: double, pages: int>"
-ATTACHMENT = "struct<number: int, type: string, url: string, place: int, tokens: int>"
-RESULT = f"struct<prompt: string, turns: int, attachments: array<{ATTACHMENT}>, text_tokens: int, attachment_tokens: int>"
+ATTACHMENT = "struct<number: int, type: string, url: string, place: bigint, tokens: bigint>"
+RESULT = f"struct<prompt: string, turns: int, attachments: array<{ATTACHMENT}>, text_tokens: bigint, attachment_tokens: bigint>"
 PATCH, AUDIO_RATE, PAGE_TOKENS, MARKS = 28, 12.5, 512, 2
-#: A text is tokenized in stretches of about this many characters, cut at blanks.
-STRETCH = 20_000
+MOST = (1 << 63) - 1
+_MARKS = str.maketrans("", "", "<|>")
 
 
 @dataclass
@@ -50,10 +52,13 @@ class Flattener:
     text_tokens: int = 0
     attachments: list[dict] = field(default_factory=list)
     numbers: dict[str, int] = field(default_factory=dict)
+    #: Whether a text part ended with ``<`` just before.
+    pending: bool = False
 
     def write(self, text: str) -> None:
         self.out.append(text)
         self.size += len(text)
+        self.pending = False
 
     def visit(self, part: dict | None) -> None:
         if part is not None:
@@ -61,15 +66,21 @@ class Flattener:
 
     def visit_text(self, part: dict) -> None:
         text = (part["text"] or "").replace("<|", "< |")
-        self.text_tokens += count_tokens(self.encoding, text)
+        if not text:
+            return
+        if self.pending and text[0] == "|":
+            text = " " + text
+        self.text_tokens += len(self.encoding.encode_ordinary(text))
         self.write(text)
+        self.pending = text[-1] == "<"
 
     def visit_image(self, part: dict) -> None:
         across, down = (math.ceil(max(part[k] or 0, 0) / PATCH) for k in ("width", "height"))
         self.attach("image", part, across * down + MARKS)
 
     def visit_audio(self, part: dict) -> None:
-        self.attach("audio", part, math.ceil(max(part["seconds"] or 0.0, 0.0) * AUDIO_RATE) + MARKS)
+        seconds = part["seconds"] if part["seconds"] is not None and 0 < part["seconds"] < math.inf else 0.0
+        self.attach("audio", part, math.ceil(min(seconds * AUDIO_RATE, MOST)) + MARKS)
 
     def visit_document(self, part: dict) -> None:
         self.attach("document", part, max(part["pages"] or 0, 0) * PAGE_TOKENS + MARKS)
@@ -79,33 +90,23 @@ class Flattener:
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
         number = self.numbers[kind] = self.numbers.get(kind, 0) + 1
-        self.attachments.append({"number": number, "type": kind, "url": part["url"], "place": self.size, "tokens": tokens})
+        self.attachments.append({"number": number, "type": kind, "url": part["url"], "place": self.size, "tokens": min(tokens, MOST)})
         self.write(f"<|{kind}_{number}|>")
 
     def turn(self, role: str | None, content: list | None) -> None:
-        self.write(f"<|{(role or 'unknown').replace('|', '')}|>\n")
+        self.write(f"<|{(role or '').translate(_MARKS) or 'unknown'}|>\n")
         for part in content or ():
             self.visit(part)
         self.write("<|end|>\n")
 
 
-def count_tokens(encoding, text: str) -> int:
-    total = at = 0
-    while at < len(text):
-        cut = len(text) if len(text) - at <= STRETCH else text.rfind(" ", at + 1, at + STRETCH)
-        cut = cut if cut > at else min(at + STRETCH, len(text))
-        total += len(encoding.encode_ordinary(text[at:cut]))
-        at = cut
-    return total
-
-
 def flatten(turns: list[dict], encoding) -> dict:
     seen = Flattener(encoding)
     for turn in turns:
         seen.turn(turn["role"], turn["content"])
     return {
         "prompt": "".join(seen.out), "turns": len(turns), "attachments": seen.attachments,
-        "text_tokens": seen.text_tokens, "attachment_tokens": sum(a["tokens"] for a in seen.attachments),
+        "text_tokens": seen.text_tokens, "attachment_tokens": min(sum(a["tokens"] for a in seen.attachments), MOST),
     }
 
 
@@ -115,10 +116,10 @@ _RESULT = pa.struct(
         ("turns", pa.int32()),
         (
             "attachments",
-            pa.list_(pa.struct([("number", pa.int32()), ("type", pa.string()), ("url", pa.string()), ("place", pa.int32()), ("tokens", pa.int32())])),
+            pa.list_(pa.struct([("number", pa.int32()), ("type", pa.string()), ("url", pa.string()), ("place", pa.int64()), ("tokens", pa.int64())])),
         ),
-        ("text_tokens", pa.int32()),
-        ("attachment_tokens", pa.int32()),
+        ("text_tokens", pa.int64()),
+        ("attachment_tokens", pa.int64()),
     ]
 )
 
