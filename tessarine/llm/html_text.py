@@ -2,19 +2,30 @@
 
 Every element of a page that holds visible text gets a hash of its subtree: tag, attributes,
 text and the hashes of its children. Spark counts on how many pages of a host each hash
-occurs. A subtree that occurs on at least ``min_pages`` pages and on ``min_share`` of the
-host's pages is part of the site's template; pages lose their outermost template subtrees,
-and the rest of the visible text is the result, one line for each block.
+occurs, equal pages once. A subtree is part of the site's template if it occurs
+
+- as furniture on at least ``min_pages`` pages and on ``min_share`` of the host's pages: in a
+  block like nav, footer, div or ul, outside article and main, with at most half of its page's
+  visible text; or
+- anywhere on at least ``min_pages`` pages and on ``content_share`` of the host's pages. Headings,
+  paragraphs, cells, words in bold and all else inside article and main go only by this, so what
+  a few pages quote from each other stays.
+
+Pages lose their outermost template subtrees, and the rest of the visible text is the result,
+one line for each block.
 
 ``html`` and ``body`` themselves are never removed. Comments, scripts, styles and the head
 are no visible text. Missing end tags are implied where HTML allows it; stray ones are ignored.
 
 The template goes to the executors as one sorted array of 8-byte keys while it fits in
-``ship_bytes``; beyond that pages are joined with the keys of their host.
+``ship_bytes``; beyond that pages are joined with the keys of their host, of which there are at
+most as many as subtrees of a page divided by ``min_share``. Hosts of more than ``HOT`` pages
+are spread over several keys of that join.
 
 Defined results: a NULL or empty page has NULL or empty text. A page without a host in its
-URL loses nothing. Every row is a page; repeated rows count as often as they occur. An
-empty table gives an empty result.
+URL loses nothing. Every row has a result; rows that repeat a page count once. Where pages has
+a column of the result's name, the result's gets an underscore. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -42,22 +53,30 @@ _ENDS_P = _BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd
 _SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _WALL = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 _KEPT = frozenset(("html", "body"))
+_FURNITURE = frozenset("nav header footer aside div section ul ol dl li dd dt table tbody tr form fieldset figure address details menu".split())
+#: Pages of a host that one key of a join may have.
+HOT = 50_000
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 
 
 class Page:
-    """Visible text of a page in pieces (None ends a block), and its subtrees: (hash, first piece, last piece)."""
+    """Visible text of a page in pieces (None ends a block), and its subtrees: (hash, first piece, last piece).
+
+    ``furniture``: for each subtree, whether it may be a template by its tag, place and size.
+    """
 
     def __init__(self, source: str):
         self.pieces: list[str | None] = []
         self.nodes: list[tuple[int, int, int]] = []
+        self.furniture: list[bool] = []
         #: Open elements: tag, hashed parts, first piece, whether it holds visible text.
         self._open: list[list] = [["", [], 0, False]]
         self._count: dict[str, int] = {}
         self._hidden = 0
-        at = 0
+        at, last = 0, source.rfind(">")
         while at < len(source):
-            found = _TAG.search(source, at)
+            # without this an unclosed "<!" would be looked up to the end of the page each time
+            found = _TAG.search(source, at) if at <= last or source.find("<!--", at) >= 0 else None
             self._text(source[at : found.start() if found else len(source)])
             if not found:
                 break
@@ -77,6 +96,10 @@ class Page:
                 self._end(tag)
         while len(self._open) > 1:
             self._pop()
+        ends = [0]
+        for piece in self.pieces:
+            ends.append(ends[-1] + len(piece or ""))
+        self.furniture = [f and 2 * (ends[b] - ends[a]) <= ends[-1] for f, (_, a, b) in zip(self.furniture, self.nodes, strict=True)]
 
     def _text(self, raw: str) -> None:
         if raw and not self._hidden and (text := _SPACE.sub(" ", html.unescape(raw))).strip():
@@ -120,6 +143,7 @@ class Page:
             digest = hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest()
             if tag not in _KEPT:
                 self.nodes.append((int.from_bytes(digest, "little"), first, len(self.pieces)))
+                self.furniture.append(tag in _FURNITURE and not self._count.get("article") and not self._count.get("main"))
             self._open[-1][1].append("+" + digest.hex())
             self._open[-1][3] = True
         if tag in _BLOCK:
@@ -158,43 +182,63 @@ def node_key(host: int, node: int) -> int:
 
 def _counted(batches):
     for batch in batches:
-        counts: dict[tuple[int, int], int] = {}
-        for source, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
+        counts: dict[tuple[int, int], list[float]] = {}
+        columns = (batch.column(c).to_pylist() for c in ("html", "host", "weight"))
+        for source, host, weight in zip(*columns, strict=True):
             own = host_key(host)
             signed = own - (1 << 64) if own >> 63 else own
-            for node in {n for n, _, _ in Page(source).nodes}:
-                at = (signed, node_key(own, node))
-                counts[at] = counts.get(at, 0) + 1
+            page, seen = Page(source), {}
+            for (node, _, _), furniture in zip(page.nodes, page.furniture, strict=True):
+                seen[node] = seen.get(node, False) or furniture
+            for node, furniture in seen.items():
+                both = counts.setdefault((signed, node_key(own, node)), [0.0, 0.0])
+                both[0] += weight
+                both[1] += weight * furniture
         yield pa.RecordBatch.from_pydict(
             {
                 "host": pa.array([h for h, _ in counts], pa.int64()),
                 "key": pa.array([k for _, k in counts], pa.int64()),
-                "pages": pa.array(list(counts.values()), pa.int64()),
+                "pages": pa.array([n for n, _ in counts.values()], pa.float64()),
+                "furniture": pa.array([n for _, n in counts.values()], pa.float64()),
             }
         )
 
 
-def with_host(pages: DataFrame, into: str = "host") -> DataFrame:
-    return pages.withColumn(into, F.lower(F.regexp_extract("url", HOST, 1)))
-
-
-def templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(host, key): subtrees that recur on many pages of a host, by 64-bit keys of both."""
-    hosted = with_host(pages.select("url", "html")).where("host <> '' AND html IS NOT NULL").select("host", "html")
-    counts = hosted.mapInArrow(_counted, "host long, key long, pages long").groupBy("host", "key").agg(F.sum("pages").alias("pages"))
+def _keyed(hosts: pa.Array) -> pa.Array:
+    return pa.array([None if not x else h - (1 << 64) if (h := host_key(x)) >> 63 else h for x in hosts.to_pylist()], pa.int64())
 
-    def keyed(hosts: pa.Array) -> pa.Array:
-        return pa.array([h - (1 << 64) if (h := host_key(x)) >> 63 else h for x in hosts.to_pylist()], pa.int64())
 
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("all_pages")).select(F.arrow_udf(keyed, "long")("host").alias("host"), "all_pages")
-    frequent = counts.where(F.col("pages") >= min_pages).join(sizes, "host")
-    return frequent.where(F.col("pages") >= F.col("all_pages") * min_share).select("host", "key")
+def with_host(pages: DataFrame, into: str = "host") -> DataFrame:
+    return pages.withColumn(into, F.lower(F.regexp_extract("url", HOST, 1)))
 
 
-def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.01, ship_bytes: int = _run.SHIP_BYTES, into: str = "extracted") -> DataFrame:
+def templates(pages: DataFrame, min_pages: int, min_share: float, content_share: float) -> tuple[DataFrame, DataFrame]:
+    """(template, hosts): (host, key) of subtrees that recur on pages of a host, by 64-bit keys of both, and (host, name, all_pages)."""
+    hosted = with_host(pages.select("url", "html")).where("host <> '' AND html IS NOT NULL").select("host", "html", F.xxhash64("html").alias("page"))
+    # of equal pages each counts as a part of one
+    times = _run.written(hosted.groupBy("host", "page").agg(F.count("*").alias("times")).where("times > 1"))
+    if times.isEmpty():
+        hosted = hosted.withColumn("weight", F.lit(1.0))
+    else:
+        hosted = _run.join_small(hosted, times, ["host", "page"], "left").withColumn("weight", 1 / F.coalesce("times", F.lit(1)))
+    hosted = hosted.select("host", "html", "weight")
+    counts = hosted.mapInArrow(_counted, "host long, key long, pages double, furniture double")
+    counts = counts.groupBy("host", "key").agg(F.sum("pages").alias("pages"), F.sum("furniture").alias("furniture"))
+    sizes = hosted.groupBy(F.col("host").alias("name")).agg(F.sum("weight").alias("all_pages"), F.count("*").alias("rows"))
+    sizes = _run.written(sizes.withColumn("host", F.arrow_udf(_keyed, "long")("name")))
+    frequent = counts.where(F.col("pages") >= min_pages - 1e-6).join(sizes.select("host", "all_pages"), "host")
+    enough = (F.col("furniture") >= F.greatest(F.lit(min_pages), F.col("all_pages") * min_share) - 1e-6) | (F.col("pages") >= F.col("all_pages") * content_share - 1e-6)
+    return frequent.where(enough).select("host", "key"), sizes
+
+
+def extract(
+    pages: DataFrame, min_pages: int = 3, min_share: float = 0.01, content_share: float = 0.3, ship_bytes: int = _run.SHIP_BYTES, into: str = "extracted"
+) -> DataFrame:
     """pages(url, html) with a struct column ``into`` of text and removed (subtrees)."""
-    found = _run.written(templates(_run.text_batches(pages), min_pages, min_share))
-    host, key, keys = _run.fresh(pages, "_host", "_key", "_keys")
+    found, sizes = templates(_run.text_batches(pages), min_pages, min_share, content_share)
+    found = _run.written(found)
+    [into] = _run.fresh(pages, into)
+    host, key, keys, salt = _run.fresh(pages, "_host", "_key", "_keys", "_salt")
     hosted = with_host(pages, host)
     kind = "struct<text: string, removed: int>"
 
@@ -229,16 +273,17 @@ def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.01, ship_
 
         return hosted.withColumn(into, F.arrow_udf(cleaned, kind).asNondeterministic()("html", host)).drop(host)
 
-    def keyed(hosts: pa.Array) -> pa.Array:
-        return pa.array([None if not x else h - (1 << 64) if (h := host_key(x)) >> 63 else h for x in hosts.to_pylist()], pa.int64())
-
     def joined(sources: pa.Array, hosts: pa.Array, tables: pa.Array) -> pa.Array:
         return clean(sources, hosts, [np.array(t or [], dtype=np.int64) for t in tables.to_pylist()])
 
+    # at most one row for each HOT pages
+    hot = sizes.where(F.col("rows") > HOT).select(F.col("host").alias(key), F.ceil(F.col("rows") / HOT).alias(salt))
     by_host = found.groupBy(F.col("host").alias(key)).agg(F.sort_array(F.collect_list("key")).alias(keys))
-    hosted = hosted.withColumn(key, F.arrow_udf(keyed, "long")(host)).join(by_host, key, "left")
+    by_host = by_host.join(F.broadcast(hot), key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salt), F.lit(1)) - 1)))
+    hosted = hosted.withColumn(key, F.arrow_udf(_keyed, "long")(host)).join(F.broadcast(hot), key, "left")
+    hosted = hosted.withColumn(salt, F.pmod(F.xxhash64("url", F.length("html")), F.coalesce(F.col(salt), F.lit(1)))).join(by_host, [key, salt], "left")
     done = hosted.withColumn(into, F.arrow_udf(joined, kind).asNondeterministic()("html", host, keys))
-    return done.select(*(F.col(f"`{c}`") for c in pages.columns if c != into), into)
+    return done.select(*(F.col(f"`{c}`") for c in pages.columns), into)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
