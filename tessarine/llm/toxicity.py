@@ -22,7 +22,8 @@ Case folding covers ASCII and Latin-1 letters.
 Defined results: a null or empty text, or one without tokens, has probability 0. With fewer
 than ``MIN_CLASS`` documents of either class in a part of the sample there is no model: the
 probability is NULL and ``toxic`` false. Rows are scored on their own; repeated rows score
-alike. A label counts if it is 0 or 1; a doc_id with several labels is left out. Rows with
+alike. Where docs has a column of the result's name, the result's gets an underscore. A label
+counts if it is 0 or 1; a doc_id with several labels is left out. Rows with
 a NULL doc_id are scored but not trained on.
 """
 
@@ -289,6 +290,7 @@ def _featured(lexicon: Lexicon):
 def score(docs: DataFrame, model: Model | None, threshold: float = 0.5, into: str = "toxicity") -> DataFrame:
     """docs with a struct column ``into`` of probability and toxic."""
     kind = "struct<probability: double, toxic: boolean>"
+    [into] = _run.fresh(docs, into)
     if model is None:
         return docs.withColumn(into, F.struct(F.lit(None).cast("double").alias("probability"), F.lit(False).alias("toxic")))
 

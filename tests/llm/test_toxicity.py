@@ -1,9 +1,10 @@
 import random
+import re
 
 import numpy as np
 import pytest
 
-from tessarine.llm import toxicity
+from tessarine.llm import _run, toxicity
 from tests.llm import cases
 
 
@@ -100,3 +101,94 @@ def test_documents_that_share_a_token_all_train(spark):
     assert model is not None
     got = {r.doc_id: r.toxicity.toxic for r in toxicity.score(frame.where("doc_id >= 1200"), model).collect()}
     assert sum(got[d] == bool(y) for d, y in labels if d >= 1200) >= 0.95 * 400
+
+
+def plain_features(text, lexicon):
+    """The features of one text, token by token. lexicon: sets of words, stems by length, and pronouns, folded."""
+    fold = str.maketrans("@$013457", "asoieast")
+
+    def letters(token):
+        out = []
+        for c in token.translate(fold):
+            if "A" <= c <= "Z" or ("\u00c0" <= c <= "\u00de" and c != "\u00d7"):
+                c = c.lower()
+            if c.isascii() and not c.isalpha():
+                continue
+            out.append(c)
+        return "".join(out)
+
+    tokens = re.findall(r"[^\t\n\f\r ]+", text)
+    n, raw = max(len(tokens), 1), text.encode()
+    folded = [letters(t).encode() for t in tokens]
+    word = [f in lexicon[0] for f in folded]
+    stem = [any(len(f) >= k and f[:k] in lexicon[1][k] for k in toxicity.STEMS) for f in folded]
+    hit = [a or b for a, b in zip(word, stem, strict=True)]
+    you = [k for k, f in enumerate(folded) if f in lexicon[2]]
+    near = [h and any(abs(k - y) <= toxicity.NEAR for y in you) for k, h in enumerate(hit)]
+    spelled = [sum(c.isalpha() if c.isascii() else len(c.encode()) for c in t) for t in tokens]
+    capitals = [sum("A" <= c <= "Z" for c in t) for t in tokens]
+    inner = []
+    for t, m in zip(tokens, spelled, strict=True):
+        b = t.encode()
+        at = [k for k, c in enumerate(b) if c >= 128 or chr(c).isalpha()]
+        inner.append(m > 1 and at[-1] - at[0] + 1 > m)
+    size, hits = max(len(raw), 1), sum(hit)
+    return [
+        sum(word) / n, sum(stem) / n, np.log1p(hits), sum(near) / max(hits, 1), sum(near) / n, sum(capitals) / max(sum(spelled), 1),
+        sum(m > 1 and m == c for m, c in zip(spelled, capitals, strict=True)) / n, raw.count(b"!") / size, raw.count(b"?") / size,
+        sum(33 <= c < 127 and not chr(c).isalnum() for c in raw) / size, sum(inner) / n, sum(a and b for a, b in zip(inner, hit, strict=True)) / n, np.log1p(len(tokens)),
+    ]
+
+
+def test_features_of_all_documents_against_brute_force(spark, sf):
+    import pyarrow as pa
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + ["", "1d10t YOU! ÉCOLE", "- 26 & You, a.b.c"]
+    stems = {4: {b"zarg", b"pfau"}, 5: {b"mente"}, 6: {b"schlic"[:6]}}
+    known = set(b"the and de la und you der idiot".split()), stems, {w.encode() for w in toxicity.PRONOUNS}
+    lexicon = toxicity.Lexicon(
+        toxicity._hash_words(w.decode() for w in known[0]), [toxicity._hash_words(w.decode() for w in stems[k]) for k in toxicity.STEMS], toxicity._hash_words(toxicity.PRONOUNS)
+    )
+    got = toxicity.features(pa.array(texts), lexicon)
+    want = np.array([plain_features(t or "", known) for t in texts])
+    bad = np.abs(got - want).max(axis=0)
+    assert dict(zip(toxicity.FEATURES, bad > 1e-9, strict=True)) == dict.fromkeys(toxicity.FEATURES, False)
+
+
+def test_every_labelled_text_trains_and_partitions_do_not_matter(spark, sf, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    texts = {(r.text, r.toxic) for r in docs.join(labels.dropDuplicates(["doc_id"]), "doc_id").where("text IS NOT NULL AND toxic IN (0, 1)").collect()}
+    seen, models = [], []
+    written = _run.written
+    monkeypatch.setattr(toxicity._run, "written", lambda df: seen.append(written(df)) or seen[-1])
+    for n in (1, 5):
+        models.append(toxicity.fit(docs.repartition(n), labels))
+        assert seen[-1].count() == len(texts)
+    a, b = models
+    assert (a is None) == (b is None)
+    if a:
+        assert (a.lexicon.words == b.lexicon.words).all() and a.trees.leaf == pytest.approx(b.trees.leaf) and a.values == pytest.approx(b.values)
+
+
+def test_query_scores_by_a_walk_over_each_document(spark):
+    """The query's probabilities are those of single documents, one by one."""
+    import pyarrow as pa
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"))
+    got = {r.doc_id: r for r in toxicity.query(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows[::97]:
+        x = toxicity.features(pa.array([r.text], pa.string()), model.lexicon)[0]
+        raw = model.trees.base
+        for f, c, leaf in zip(model.trees.feature, model.trees.cut, model.trees.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + (x[f[node]] >= c[node])
+            raw += leaf[node - len(f)]
+        below = [v for e, v in zip(model.edges, model.values, strict=True) if e <= raw + 1e-12]
+        p = (below[-1] if below else model.values[0]) if (r.text or "").split() else 0.0
+        assert got[r.doc_id].probability == pytest.approx(p) and got[r.doc_id].toxic == (p >= 0.5)
