@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from tessarine.llm import _run, _text
 
 #: Words of one pack of documents; a longer document is a pack of its own.
-PACK_WORDS = 400_000
+PACK_WORDS = 150_000
 #: Most classes of a model, so that a code has two bytes.
 MOST_CLASSES = 1 << 16
 _INITIAL, _LIKELIHOOD, _TRANSITION = -1, -2, -16
@@ -302,6 +302,7 @@ def expected_counts(model: Model, packed: Packed, kind=np.float64) -> tuple[np.n
     later = np.arange(first, len(alpha))
     step = np.repeat(np.arange(len(running)), running)[first:]
     transition = alpha[packed.begin[step - 1] + packed.line[later]].T @ ahead[first:] if len(later) else np.zeros_like(back)
+    del ahead
     alpha *= beta
     size = len(model.emission)
     emission = np.stack([np.bincount(packed.symbols, weights=g, minlength=size) for g in alpha.T], axis=1)
@@ -329,6 +330,7 @@ def train(encoded: DataFrame, states: int = 8, symbols: int = 32_768, max_iterat
                     transition += a
                     emission += e
                     likelihood[:2] += value, len(codes)
+                _run.give_back()
             used = np.flatnonzero(emission.any(axis=1))
             ids = np.concatenate([used, [_INITIAL, _LIKELIHOOD], _TRANSITION - np.arange(now.states)]).astype(np.int32)
             values = np.concatenate([emission[used], first[None], likelihood[None], transition]).astype(np.float32)
