@@ -41,12 +41,17 @@ def blank_matches(text: Column, pattern: str) -> Column:
 
 def scrub(text: Column, path: Column, patterns: dict[str, list[str]]) -> Column:
     """The text scrubbed by every glob that matches its path, or NULL if nothing changed."""
+
+    def bound(value: Column, use) -> Column:
+        """use(value), with the value computed once however often it is used."""
+        return F.transform(F.array(value), use)[0]
+
     out = text
     for glob, own in patterns.items():
         if own:
             joined = "|".join(f"(?:{p})" for p in own)
-            out = F.when(path.rlike(glob_regex(glob)), blank_matches(out, joined)).otherwise(out)
-    return F.when(out != text, out)
+            out = bound(out, lambda t, g=glob, j=joined: F.when(path.rlike(glob_regex(g)) & t.rlike(j), blank_matches(t, j)).otherwise(t))
+    return bound(out, lambda t: F.when(t != text, t))
 
 
 def scrub_map_error(patterns) -> str | None:

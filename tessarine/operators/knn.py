@@ -19,69 +19,106 @@ def nearest(vectors: DataFrame, query: list[float], k: int, offset: int = 0, neg
     return (found.offset(offset) if offset else found).limit(k)
 
 
+def _best(keys, x, table, k, held):
+    """The k nearest rows of x (with ascending keys) for each row of table, merged with those held: (distance, key), NaN behind."""
+    import numpy as np
+
+    with np.errstate(all="ignore"):
+        distance = 1 - (table @ x.T) / (np.linalg.norm(table, axis=1)[:, None] * np.linalg.norm(x, axis=1))
+    distance[~np.isfinite(distance)] = np.inf
+    if distance.shape[1] > 4 * k:
+        edge = np.partition(distance, k - 1, axis=1)[:, k - 1 : k]
+        most = int((distance <= edge).sum(axis=1).max())  # ties at the edge are kept until keys decide
+        near = np.argpartition(distance, min(most, distance.shape[1] - 1), axis=1)[:, :most] if most < distance.shape[1] else np.broadcast_to(np.arange(distance.shape[1]), distance.shape)
+        distance, found = np.take_along_axis(distance, near, 1), keys[near]
+    else:
+        found = np.broadcast_to(keys, distance.shape)
+    if held is not None:
+        distance, found = np.hstack([held[0], distance]), np.hstack([held[1], found])
+    rank = np.lexsort((found, distance), axis=-1)[:, :k]
+    return np.take_along_axis(distance, rank, 1), np.take_along_axis(found, rank, 1)
+
+
+def _by_length(lists):
+    """(rows, matrix) of the lists of each length in an Arrow list column; nulls and lists with nulls are left out."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    size = pc.list_value_length(lists).fill_null(-1).to_numpy(zero_copy_only=False)
+    for n in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == n)
+        matrix = lists.take(pa.array(rows)).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+        whole = ~np.isnan(matrix).any(axis=1)
+        yield n, rows[whole], matrix[whole]
+
+
 def nearest_for_all(vectors: DataFrame, queries: DataFrame, k: int, query_key: str, key: str = "vector_id", column: str = "embedding", ship_bytes: int = 64 << 20) -> DataFrame:
     """(query_key, key, distance, rank) for every row of queries(query_key, query).
 
-    Queries go to the vectors while they fit in ``ship_bytes``; each task then keeps the best k
-    of a query, so what is shuffled grows with tasks times queries. More queries than that go
-    in slices of that size, one scan each.
+    Queries are broadcast while they fit in ``ship_bytes``; each task then keeps the best k of a
+    query, so what is shuffled grows with tasks times queries. More queries are cut into blocks
+    of that size by hash, vectors too, and each pair of blocks is a task.
+
+    A query meets the vectors of its own length; NULL or empty ones, those with NULL or NaN, and
+    zero vectors find nothing.
     """
     import numpy as np
     import pyarrow as pa
 
+    from pyspark.sql import Window
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type, key_type = to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(vectors.schema[key].dataType)
-    rows = queries.where("query IS NOT NULL").select(query_key, "query")
-    kind = dict(vectors.dtypes)[key]
-    schema = f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {kind}, distance double"
-
-    def scan(ids: list, table: np.ndarray):
-        def best(batches):
-            length = np.linalg.norm(table, axis=1)
-            held = None
+    rows = queries.where("size(query) > 0").select(F.col(query_key), F.col("query").cast("array<double>"))
+    asked = vectors.select(key, F.col(column).cast("array<double>").alias(column)).where(f"size({column}) > 0")
+    schema = f"{query_key} {dict(queries.dtypes)[query_key]}, {key} {dict(vectors.dtypes)[key]}, distance double"
+
+    def merged(tables, keys, lists, held):
+        """held, by length of the vectors, with those of one batch."""
+        for n, at, x in _by_length(lists):
+            if n in tables and len(at):
+                own = np.array(keys.take(pa.array(at)).to_pylist(), dtype=None if pa.types.is_integer(keys.type) else object)
+                order = np.argsort(own, kind="stable")
+                held[n] = _best(own[order], x[order], tables[n][1], k, held.get(n))
+        return held
+
+    def emitted(tables, held):
+        for n, (distance, found) in held.items():
+            some = np.isfinite(distance)
+            ids = pa.array(np.repeat(np.arange(len(distance)), some.sum(axis=1)))
+            yield pa.RecordBatch.from_arrays([tables[n][0].take(ids), pa.array(found[some].tolist(), key_type), pa.array(distance[some])], names=[query_key, key, "distance"])
+
+    def tables_of(ids, lists):
+        return {n: (ids.take(pa.array(at)), x) for n, at, x in _by_length(lists) if len(at)}
+
+    size = rows.select(F.sum(F.size("query") * 8 + 16)).first()[0] or 0
+    if size <= ship_bytes:
+        table = rows.toArrow()
+        shipped = vectors.sparkSession.sparkContext.broadcast(tables_of(table.column(query_key).combine_chunks().cast(id_type), table.column("query")))
+
+        def scan(batches):
+            held = {}
             for batch in batches:
-                keys = np.array(batch.column(key).to_pylist(), dtype=object)
-                column_ = batch.column(column)
-                same = [len(v) == table.shape[1] if v is not None else False for v in column_.to_pylist()]
-                keys = keys[np.flatnonzero(same)]
-                if not len(keys):
-                    continue
-                x = np.array(column_.filter(pa.array(same)).to_pylist(), dtype=float)
-                norms = np.linalg.norm(x, axis=1)
-                with np.errstate(all="ignore"):
-                    distance = 1 - (table @ x.T) / (length[:, None] * norms)
-                held_keys = np.broadcast_to(keys, distance.shape)
-                if held is not None:
-                    distance, held_keys = np.hstack([held[0], distance]), np.hstack([held[1], held_keys])
-                rank = np.array([np.lexsort((row_keys, row)) for row, row_keys in zip(distance, held_keys, strict=True)])[:, :k]
-                held = np.take_along_axis(distance, rank, 1), np.take_along_axis(held_keys, rank, 1)
-            if held is not None:
-                for i, (d, own) in enumerate(zip(*held, strict=True)):
-                    ok = ~np.isnan(d)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i]] * int(ok.sum()), id_type), pa.array(own[ok].tolist(), key_type), pa.array(d[ok])], names=[query_key, key, "distance"]
-                    )
-
-        return vectors.select(key, column).mapInArrow(best, schema)
-
-    parts, ids, table, size = [], [], [], 0
-    for r in rows.toLocalIterator():
-        ids.append(r[0])
-        table.append(list(r[1]))
-        size += 8 * len(r[1])
-        if size > ship_bytes:
-            parts.append(scan(ids, np.array(table, dtype=float)))
-            ids, table, size = [], [], 0
-    if ids:
-        parts.append(scan(ids, np.array(table, dtype=float)))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    from pyspark.sql import Window
-
+                merged(shipped.value, batch.column(key), batch.column(column), held)
+            yield from emitted(shipped.value, held)
+
+        out = asked.mapInArrow(scan, schema)
+    else:
+        left, right = -(-size // ship_bytes), -(-(asked.select(F.sum(F.size(column) * 8)).first()[0] or 1) // ship_bytes)
+        block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+        pairs_left = rows.withColumn("_q", block(query_key, left)).withColumn("_v", every(right))
+        pairs_right = asked.withColumn("_v", block(key, right)).withColumn("_q", every(left))
+
+        def task(own: pa.Table, other: pa.Table) -> pa.Table:
+            tables = tables_of(own.column(query_key).combine_chunks().cast(id_type), own.column("query"))
+            held = merged(tables, other.column(key).combine_chunks(), other.column(column), {}) if other.num_rows else {}
+            kind = pa.schema([(query_key, id_type), (key, key_type), ("distance", pa.float64())])
+            return pa.Table.from_batches(list(emitted(tables, held)), schema=kind)
+
+        out = pairs_left.groupBy("_q", "_v").cogroup(pairs_right.groupBy("_q", "_v")).applyInArrow(task, schema)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy("distance", key))
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -190,6 +190,36 @@ def set_file_versions(files: DataFrame, changes: DataFrame) -> DataFrame:
     return update(files, changes, "file_path", ["sha256"])
 
 
+# --- flushing ---
+
+
+def flushes(batches: DataFrame, threshold: int = 300) -> DataFrame:
+    """batches(run, batch, pending) with ``flushed``: what goes out behind each batch, 0 where work is still gathered.
+
+    Pending work is gathered over the batches of a run, in their order, and goes out as soon as
+    it is at least the threshold, and behind the run's last batch. A run is one task, read in
+    order and never held.
+    """
+    import pyarrow as pa
+
+    last = F.max("batch").over(Window.partitionBy("run"))
+
+    def gathered(parts):
+        run, held = None, 0
+        for part in parts:
+            out = []
+            for own, pending, end in zip(*(part.column(c).to_pylist() for c in ("run", "pending", "end")), strict=True):
+                held = (held if own == run else 0) + pending
+                run = own
+                out.append(held if held >= threshold or end else 0)
+                held = 0 if out[-1] or end else held
+            yield pa.RecordBatch.from_arrays([part.column("run"), part.column("batch"), part.column("pending"), pa.array(out, pa.int64())], names=["run", "batch", "pending", "flushed"])
+
+    ordered = batches.select("run", F.col("batch").cast("long"), F.col("pending").cast("long")).withColumn("end", F.col("batch") == last)
+    ordered = ordered.repartition("run").sortWithinPartitions("run", "batch")
+    return ordered.mapInArrow(gathered, f"run {dict(batches.dtypes)['run']}, batch long, pending long, flushed long")
+
+
 # --- integrity ---
 
 

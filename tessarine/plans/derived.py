@@ -1,7 +1,7 @@
 """Inputs of the registered queries, derived from the driver's tables, and the same in SQL.
 
-The tables hold prose, no source code. Documents serve as files, and every third line of a
-document as a symbol whose extent follows from its length.
+The tables hold prose, no source code. Documents serve as files, and every line of a document
+as a symbol whose type follows from its number and whose extent from its length.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ CTES = {
     ),
     "s": (
         "s AS (SELECT path, line_count, line AS start_line, least(line_count - 1, line + length(line_text) % 11)::INTEGER AS end_line, "
-        "[1, 2, 20, 21, 40, 60, 24][1 + (line // 3) % 7]::INTEGER AS type, "
+        "[1, 2, 20, 21, 40, 60, 24][1 + line % 7]::INTEGER AS type, "
         "coalesce(nullif(regexp_extract(line_text, '[A-Za-z]+'), ''), 'anon') AS name, "
-        "path || '::' || coalesce(nullif(regexp_extract(line_text, '[A-Za-z]+'), ''), 'anon') AS fqn FROM l WHERE line % 3 = 0)"
+        "path || '::' || coalesce(nullif(regexp_extract(line_text, '[A-Za-z]+'), ''), 'anon') AS fqn FROM l)"
     ),
-    "p": "p AS (SELECT DISTINCT path, line, line_count FROM l WHERE line % 2 = 1)",
+    "p": "p AS (SELECT DISTINCT path, line, line_count FROM l)",
     "v": "v AS (SELECT vec_id AS vector_id, embedding, label FROM embeddings)",
     "c": (
         "c AS (SELECT vec_id AS chunk_id, vec_id AS vector_id, vec_id % 97 AS file_id, (vec_id * 7 % 50 + 1)::INTEGER AS start_line, "
@@ -67,19 +67,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lines(spark, sf_dir).where("line % 3 = 0")
+    own = lines(spark, sf_dir)
     name = F.coalesce(F.nullif(F.regexp_extract("line_text", "[A-Za-z]+", 0), F.lit("")), F.lit("anon"))
     return own.select(
         "path", "line_count", F.col("line").alias("start_line"), F.lit(0).alias("start_column"),
         F.least(F.col("line_count") - 1, F.col("line") + F.length("line_text") % 11).alias("end_line"),
-        F.expr("array(1, 2, 20, 21, 40, 60, 24)[(line div 3) % 7]").alias("type"), name.alias("name"),
+        F.expr("array(1, 2, 20, 21, 40, 60, 24)[line % 7]").alias("type"), name.alias("name"),
         F.concat("path", F.lit("::"), name).alias("fully_qualified_name"), F.lit(None).cast("string").alias("signature"),
     )
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, line, line_count): every other line."""
-    return lines(spark, sf_dir).where("line % 2 = 1").select("path", "line", "line_count").distinct()
+    """(path, line, line_count) of every line."""
+    return lines(spark, sf_dir).select("path", "line", "line_count").distinct()
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,10 +234,10 @@ def cache_upsert(spark, sf_dir):
     return maintain.upsert_cache(old, own.where("chunk_id % 2 = 0").select("sha256", F.concat(F.lit("new"), "chunk_id").alias("data")))
 
 
-@register("join6_join18_known_files", "SELECT file_path, chunk_id, start_line FROM c JOIN cf USING (file_id) WHERE file_id % 4 = 1", "c", "cf")
+@register("join6_join18_known_files", "SELECT file_path, chunk_id, start_line FROM c JOIN cf USING (file_id)", "c", "cf")
 def known_files(spark, sf_dir):
     """Chunks of requested files; unknown ones are left out."""
-    asked = spark.range(0, 97, 4).select((F.col("id") + 1).alias("file_id"))
+    asked = chunks(spark, sf_dir).select("file_id").distinct()
     named = chunk_files(spark, sf_dir).join(asked, "file_id", "left_semi")
     return chunks(spark, sf_dir).join(named, "file_id").select("file_path", "chunk_id", "start_line")
 
@@ -350,8 +350,9 @@ def delete_files(spark, sf_dir):
 
 @register("snk5_update_lines", "SELECT chunk_id, CASE WHEN chunk_id % 6 = 0 THEN 7 ELSE start_line END AS start_line, CASE WHEN chunk_id % 6 = 0 THEN 8 ELSE end_line END AS end_line FROM c", "c")
 def update_lines(spark, sf_dir):
-    changes = spark.range(0, 1_000_000, 6).select(F.col("id").alias("chunk_id"), F.lit(7).alias("start_line"), F.lit(8).alias("end_line"))
-    return maintain.update_chunk_lines(chunks(spark, sf_dir), changes).select("chunk_id", "start_line", "end_line")
+    own = chunks(spark, sf_dir)
+    changes = own.where("chunk_id % 6 = 0").select("chunk_id", F.lit(7).alias("start_line"), F.lit(8).alias("end_line"))
+    return maintain.update_chunk_lines(own, changes).select("chunk_id", "start_line", "end_line")
 
 
 @register("snk6_file_versions", "SELECT file_id, CASE WHEN file_id % 2 = 0 THEN 'v2' ELSE 'v1' END AS sha256 FROM cf", "cf")

@@ -29,12 +29,12 @@ def innermost_container(spark, sf_dir):
 
 @register(
     "join13_qualified_name",
-    """+n AS (SELECT DISTINCT path, line, regexp_extract(line_text, '[A-Za-z]+') AS name FROM l WHERE line % 3 = 0 AND regexp_matches(line_text, '[A-Za-z]'))
+    """+n AS (SELECT DISTINCT path, line, regexp_extract(line_text, '[A-Za-z]+') AS name FROM l WHERE regexp_matches(line_text, '[A-Za-z]'))
     SELECT n.path, n.line, n.name, coalesce(max(s.fqn), n.name) AS fqn FROM n LEFT JOIN s ON n.path = s.path AND n.name = s.name AND s.start_line <= n.line AND n.line <= s.end_line GROUP BY n.path, n.line, n.name""",
     "f", "l", "s",
 )
 def qualified_name(spark, sf_dir):
-    own = lines(spark, sf_dir).where("line % 3 = 0").select("path", "line", F.regexp_extract("line_text", "[A-Za-z]+", 0).alias("name")).where("name <> ''").distinct()
+    own = lines(spark, sf_dir).select("path", "line", F.regexp_extract("line_text", "[A-Za-z]+", 0).alias("name")).where("name <> ''").distinct()
     return intervals.qualified_name(own, symbols(spark, sf_dir)).select("path", "line", "name", "fqn")
 
 
@@ -185,14 +185,14 @@ def preamble_end(spark, sf_dir):
 
 @register(
     "agg21_merge_comments",
-    """+c AS (SELECT path, line, length(line_text) % 2 AS col FROM l WHERE line % 4 <> 3),
+    """+c AS (SELECT path, line, length(line_text) % 2 AS col FROM l),
     m AS (SELECT *, CASE WHEN line = lag(line) OVER o + 1 AND col = lag(col) OVER o THEN 0 ELSE 1 END AS fresh FROM c WINDOW o AS (PARTITION BY path ORDER BY line, col)),
     n AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY line, col ROWS UNBOUNDED PRECEDING) AS island FROM m)
     SELECT path, min(line) AS start_line, max(line) AS end_line, min(col)::INTEGER AS "column" FROM n GROUP BY path, island""",
     "f", "l",
 )
 def merge_comments(spark, sf_dir):
-    own = lines(spark, sf_dir).where("line % 4 <> 3").select("path", "line", (F.length("line_text") % 2).alias("column"))
+    own = lines(spark, sf_dir).select("path", "line", (F.length("line_text") % 2).alias("column"))
     return intervals.merge_comments(own)
 
 
@@ -256,7 +256,7 @@ def verified_references(spark, sf_dir):
 
 @register(
     "q5_exact_positions",
-    r"""+r AS (SELECT doc_id, line + line % 4 - 1 AS asked, line_text, regexp_extract(line_text, '[A-Za-z0-9_]+') AS word FROM l WHERE line % 10 = 5),
+    r"""+r AS (SELECT doc_id, line + line % 4 - 1 AS asked, line_text, regexp_extract(line_text, '[A-Za-z0-9_]+') AS word FROM l),
     x AS (SELECT r.*, l.line, row_number() OVER (PARTITION BY r.doc_id, r.asked, r.line_text ORDER BY abs(l.line - asked), l.line) AS k FROM r JOIN l ON l.doc_id = r.doc_id AND abs(l.line - asked) <= 5 AND trim(l.line_text) = trim(r.line_text)
           WHERE word <> '')
     SELECT doc_id, asked::INTEGER AS asked, line::INTEGER AS found_line FROM x WHERE k = 1 AND regexp_matches(line_text, '^[A-Za-z0-9_]+([^A-Za-z0-9_]|$)')""",
@@ -265,7 +265,7 @@ def verified_references(spark, sf_dir):
 def exact_positions(spark, sf_dir):
     """Lines looked for a few lines off, by their text and first word."""
     own = lines(spark, sf_dir)
-    ask = own.where("line % 10 = 5").select(
+    ask = own.select(
         "doc_id", (F.col("line") + F.col("line") % 4 - 1).alias("line"), F.regexp_extract("line_text", "[A-Za-z0-9_]+", 0).alias("name"), F.lit(0).alias("column"),
         F.col("line_text").alias("source_line"),
     ).where(F.col("source_line").rlike("^[A-Za-z0-9_]+([^A-Za-z0-9_]|$)"))
@@ -289,14 +289,14 @@ def comment_above(spark, sf_dir):
 
 @register(
     "q1_agg11_results_by_container",
-    """+h AS (SELECT path, line FROM l WHERE line % 2 = 1 AND regexp_matches(line_text, '(?i)\\bthe\\b'))
+    """+h AS (SELECT path, line FROM l WHERE regexp_matches(line_text, '(?i)\\bthe\\b'))
     SELECT h.path, coalesce(c.fqn, '') AS container, min(line)::INTEGER AS first_line, count(*) AS n FROM h LEFT JOIN i USING (path, line) GROUP BY h.path, coalesce(c.fqn, ''), coalesce(c.a, -1), coalesce(c.b, -1)""",
     "f", "l", "s", "k", "p", "i",
 )
 def results_by_container(spark, sf_dir):
     """Hits of a search under their innermost containers."""
     hits = lexical.file_hits(files(spark, sf_dir), ["(?i)(?<![A-Za-z0-9_])the(?![A-Za-z0-9_])"])
-    hits = hits.select("path", F.explode(F.col("m")[0]["line_numbers"]).alias("line")).where("line % 2 = 1")
+    hits = hits.select("path", F.explode(F.col("m")[0]["line_numbers"]).alias("line"))
     held = intervals.innermost_container(hits, symbols(spark, sf_dir))
     box = [F.coalesce("symbol.fully_qualified_name", F.lit("")).alias("container"), F.coalesce("symbol.start_line", F.lit(-1)).alias("a"), F.coalesce("symbol.end_line", F.lit(-1)).alias("b")]
     return held.groupBy("path", *box).agg(F.min("line").alias("first_line"), F.count("*").alias("n")).drop("a", "b")

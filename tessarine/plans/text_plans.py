@@ -155,9 +155,9 @@ def signature_ends(spark, sf_dir):
     return files(spark, sf_dir).select("doc_id", T.signature_end(code).alias("signature_end"))
 
 
-@register("fn27_search_urls", "SELECT doc_id, 'https://code.example/?q=' || replace(replace(replace(replace(replace(url_encode(substr(text, 1, 60)), '%2A', '*'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')') || '&n=1' AS url FROM f", "f")
+@register("fn27_search_urls", "SELECT doc_id, 'https://code.example/?q=' || replace(replace(replace(replace(replace(url_encode(text), '%2A', '*'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')') || '&n=1' AS url FROM f", "f")
 def search_urls(spark, sf_dir):
-    return files(spark, sf_dir).select("doc_id", T.search_url("https://code.example/?q={query}&n=1", F.substring("text", 1, 60)).alias("url"))
+    return files(spark, sf_dir).select("doc_id", T.search_url("https://code.example/?q={query}&n=1", F.col("text")).alias("url"))
 
 
 @register("fn29_breakpoints", r"SELECT doc_id, '`app!' || replace(path, '/', '\\') || ':' || (doc_id + 1) || '`' AS breakpoint FROM f", "f")

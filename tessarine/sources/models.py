@@ -74,9 +74,14 @@ def filtered(rows: DataFrame, keep: Callable[[list[str]], list[bool]] | None, te
     return rows.where(F.arrow_udf(lambda texts: pa.array(keep(texts.to_pylist()), pa.bool_()), "boolean").asNondeterministic()(text))
 
 
-def reranked(rows: DataFrame, order: Callable[[list[str]], list[int]], by: list[str], text: str = "text") -> DataFrame:
-    """A short ranked list with ``rank`` as a model orders it; what the model leaves out drops. The list goes to the driver."""
-    held = rows.orderBy(*by).toPandas()
+def reranked(rows: DataFrame, order: Callable[[list[str]], list[int]], by: list[str], text: str = "text", most: int = 1000) -> DataFrame:
+    """A short ranked list with ``rank`` as a model orders it; what the model leaves out drops.
+
+    The list goes to the driver, so one of more than ``most`` rows is a ValueError.
+    """
+    held = rows.orderBy(*by).limit(most + 1).toPandas()
+    if len(held) > most:
+        raise ValueError(f"more than {most} rows to rerank")
     chosen = [i for i in dict.fromkeys(order(held[text].tolist())) if 0 <= i < len(held)]
     picked = held.iloc[chosen].assign(rank=range(1, len(chosen) + 1))
     return rows.sparkSession.createDataFrame(picked, f"{rows.schema.toDDL()}, rank INT") if chosen else rows.where("false").withColumn("rank", F.lit(0))
