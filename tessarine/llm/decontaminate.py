@@ -192,7 +192,8 @@ def items(benchmark: DataFrame, min_words: int, min_item_words: int) -> list[Ite
 
 
 def _matcher(parts: list[Items], spark):
-    shipped = [spark.sparkContext.broadcast(part) for part in parts if len(part.queries)]
+    # as plain arrays: executors have no copy of this package to read a class from
+    shipped = [spark.sparkContext.broadcast((p.ids, p.hashes, p.pointers, p.queries, p.depth)) for p in parts if len(p.queries)]
     deepest = max((part.deepest for part in parts), default=0)
 
     def loaded(part):
@@ -211,9 +212,9 @@ def _matcher(parts: list[Items], spark):
                 continue
             order, keys = suffix_array(train, deepest)
             several = []
-            for part in map(loaded, shipped):
-                row, item, *rest = search(train, order, keys, Suffixes(part.hashes, part.pointers), part.queries, part.depth)
-                several.append((row + lo, np.array(part.ids, dtype=object)[item], *rest))
+            for ids, hashes, pointers, queries, depth in map(loaded, shipped):
+                row, item, *rest = search(train, order, keys, Suffixes(hashes, pointers), queries, depth)
+                several.append((row + lo, np.array(ids, dtype=object)[item], *rest))
             row, *rest = (np.concatenate(x) for x in zip(*several, strict=True))
             sort = np.argsort(row, kind="stable")
             found.append((row[sort], *(x[sort] for x in rest)))

@@ -316,10 +316,10 @@ def train(encoded: DataFrame, states: int = 8, symbols: int = 32_768, max_iterat
     schema = "id int, " + ", ".join(f"{c} float" for c in columns)
     spark = encoded.sparkSession
     while model.iterations < max_iterations:
-        shipped = spark.sparkContext.broadcast(model)
+        shipped = spark.sparkContext.broadcast((model.initial, model.transition, model.emission))
 
         def counts(batches, shipped=shipped):
-            now = shipped.value
+            now = Model(*shipped.value)
             first, transition = np.zeros(now.states), np.zeros((now.states, now.states))
             emission, likelihood = np.zeros_like(now.emission), np.zeros(now.states)
             for batch in batches:
@@ -365,10 +365,10 @@ def score(encoded: DataFrame, model: Model, names: list[str]) -> DataFrame:
         while results[k].lower() in taken:
             results[k] += "_"
         taken.add(results[k].lower())
-    shipped = spark.sparkContext.broadcast(model)
+    shipped = spark.sparkContext.broadcast((model.initial, model.transition, model.emission))
 
     def scored(batches):
-        now = shipped.value
+        now = Model(*shipped.value)
         for batch in batches:
             for k in range(batch.num_rows):
                 per_row, lines, codes, shares = (batch.column(c)[k].as_py() for c in ("per_row", "lines", "codes", "shares"))
