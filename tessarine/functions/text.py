@@ -44,13 +44,15 @@ def scrub(text: Column, path: Column, patterns: dict[str, list[str]]) -> Column:
 
     def bound(value: Column, use) -> Column:
         """use(value), with the value computed once however often it is used."""
-        return F.transform(F.array(value), use)[0]
+        return F.transform(F.array(value), lambda t: use(t))[0]
+
+    def blanked(glob: str, joined: str):
+        return lambda t: F.when(path.rlike(glob_regex(glob)) & t.rlike(joined), blank_matches(t, joined)).otherwise(t)
 
     out = text
     for glob, own in patterns.items():
         if own:
-            joined = "|".join(f"(?:{p})" for p in own)
-            out = bound(out, lambda t, g=glob, j=joined: F.when(path.rlike(glob_regex(g)) & t.rlike(j), blank_matches(t, j)).otherwise(t))
+            out = bound(out, blanked(glob, "|".join(f"(?:{p})" for p in own)))
     return bound(out, lambda t: F.when(t != text, t))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 from tessarine.functions.text import CPP_EXTENSIONS
+from tessarine.schema import CALLABLE, CHUNK_CONTAINER, SYMBOL_TYPES
 
 BUDGET, OVERLAP, LEAST = int(1024 * 3.5), 8, 75
 
@@ -168,8 +169,6 @@ class CppParser:
     @staticmethod
     def ranges(symbols: list[dict], lines: list[str]) -> list[list]:
         """[start, end, symbol] of the outermost containers, grown over the lines right above."""
-        from tessarine.schema import CHUNK_CONTAINER
-
         out: list[list] = []
         reach = 0
         for s in sorted((s for s in symbols if s["type"] in CHUNK_CONTAINER), key=lambda s: s["start_line"]):
@@ -185,8 +184,6 @@ class CppParser:
         return out
 
     def chunks(self, lines: list[str], symbols: list[dict], path: str) -> list[tuple[int, int, str]]:
-        from tessarine.schema import CALLABLE, SYMBOL_TYPES
-
         out: list[tuple[int, int, str]] = []
 
         def add(start: int, end: int, own: dict | None = None) -> None:

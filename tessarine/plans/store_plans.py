@@ -50,8 +50,8 @@ _POSITIONS = "list_transform(range(10), lambda i: (('0x' || substr(h, 1, 8))::BI
 
 @register(
     "pred25_bloom_membership",
-    f"""+h AS (SELECT DISTINCT sha256(text) AS h, sha256(text) < '8' AS own FROM f), p AS (SELECT h, own, unnest({_POSITIONS}) AS at FROM h),
-    b AS (SELECT DISTINCT at FROM p WHERE own) SELECT h AS sha256, bool_and(b.at IS NOT NULL) AS known FROM p LEFT JOIN b USING (at) GROUP BY h""",
+    f"""+h AS (SELECT DISTINCT sha256(text) AS h, sha256(text) < '8' AS own FROM f), p AS (SELECT h, own, unnest({_POSITIONS}) AS bit FROM h),
+    b AS (SELECT DISTINCT bit FROM p WHERE own) SELECT h AS sha256, bool_and(b.bit IS NOT NULL) AS known FROM p LEFT JOIN b USING (bit) GROUP BY h""",
     "f",
 )
 def bloom_membership(spark, sf_dir):
