@@ -7,11 +7,14 @@ query ``linked`` has one row for each document: the group that links connect it
 its number of links, copies counted one by one. ``all_pairs`` has the pairs of classes and
 the membership instead. Neither unfolds pairs of copies.
 
-1. Each set gets ``bands`` keys of ``rows`` min-hashes. Classes that share a key are tied
-   together, and connected components of ties (min-label propagation with pointer jumping,
-   each round a written table, until nothing moves) become the partitions of the join. Two
-   sets of similarity j land in one component with a chance of at least
-   1 - (1 - j**rows)**bands: 0.984 at 0.5, 0.99997 at 0.7. This is the only approximate step.
+1. Sets that can be similar are found by prefixes. All n-grams have one order, by the number of
+   sets that have them, then by hash; two sets of similarity t or more share one among the first
+   size - ceil(t * size) + 1 of each. N-grams of one set alone come first and tie nothing, so a
+   set with enough of them is done. A shared one ties two sets if the rest of both after its
+   place leaves room for the needed overlap; among more than ``PAIRED`` sets it ties all whose
+   sizes can meet. Connected components of ties (min-label propagation with pointer jumping, each
+   round a written table, until nothing moves) become the partitions of the join. No pair is lost.
+   The n-grams travel as packed arrays, by bucket to be counted and back to their sets.
 2. In each partition the sets are packed, by size and min-hash, into a signature tree. A leaf
    is one set, a node holds the OR of its children's token bitmaps and their range of sizes.
    The tree is traversed against itself level by level; a pair of nodes is dropped if its
@@ -42,6 +45,12 @@ from pyspark.sql import functions as F
 from tessarine.llm import _run, _text
 
 FANOUT = 8
+#: N-grams of sets that are sent off together, and their most sets: a set's number has two bytes.
+CHUNK_TOKENS, CHUNK_SETS = 1 << 21, 1 << 16
+#: N-grams of one bucket, about.
+BUCKET_TOKENS = 1 << 20
+#: Most sets with a shared n-gram that are looked at pair by pair.
+PAIRED = 16
 #: Pairs of nodes that are looked at in one step of the traversal.
 FRONTIER = 1 << 16
 
@@ -61,26 +70,8 @@ def node_of(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def band_keys(own: list[np.ndarray], bands: int, rows: int, seed: int) -> np.ndarray:
-    """One row of band keys for each non-empty set."""
-    rng = np.random.default_rng(seed)
-    factor = rng.integers(1, 1 << 31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    shift = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
-    flat = np.concatenate(own)
-    low = (flat >> np.uint64(32)).astype(np.uint32)
-    starts = np.cumsum([0, *map(len, own[:-1])])
-    keys = np.empty((len(own), bands), dtype=np.uint64)
-    for b in range(bands):
-        key = np.full(len(own), b + 1, dtype=np.uint64)
-        for k in range(b * rows, (b + 1) * rows):
-            least = np.minimum.reduceat(low * factor[k] + shift[k], starts)
-            key = _text.mix64(key * np.uint64(0x9E3779B97F4A7C15) + least)
-        keys[:, b] = key
-    return keys
-
-
-def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) -> DataFrame:
-    """(doc_id, text_hash, node, size, keys) of the documents that have words."""
+def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text_hash, node, size) of the documents that have words."""
 
     def signed(batches):
         for batch in batches:
@@ -89,22 +80,172 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 11) -
                 at = [k for k, own in enumerate(found) if len(own)]
                 if not at:
                     continue
-                own = [found[k] for k in at]
-                keys = band_keys(own, bands, rows, seed)
                 rows_at = pa.array(np.array(at) + lo)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id").take(rows_at),
                         "text_hash": batch.column("text_hash").take(rows_at),
-                        "node": pa.array([node_of(x) for x in own], pa.int64()),
-                        "size": pa.array(np.array([len(x) for x in own], dtype=np.int32)),
-                        "keys": pa.ListArray.from_arrays(
-                            pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))
-                        ),
+                        "node": pa.array([node_of(found[k]) for k in at], pa.int64()),
+                        "size": pa.array(np.array([len(found[k]) for k in at], dtype=np.int32)),
                     }
                 )
 
-    return _texts(_run.text_batches(docs)).mapInArrow(signed, "doc_id long, text_hash long, node long, size int, keys array<long>")
+    return _texts(_run.text_batches(docs)).mapInArrow(signed, "doc_id long, text_hash long, node long, size int")
+
+
+def _runs(batches, key: str):
+    """The rows of each value of ``key``, of batches sorted by it, as lists of columns."""
+    now, held = None, []
+    for batch in batches:
+        at = batch.schema.get_field_index(key)
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[at] != now:
+                yield now, list(zip(*held, strict=True))
+                held = []
+            now = row[at]
+            held.append(row)
+    if held:
+        yield now, list(zip(*held, strict=True))
+
+
+_PARTS = "bucket int, chunk long, low binary, row binary, times binary, nodes binary, sizes binary"
+
+
+def _parts(bucket, chunk, low, row, times=None, nodes=None, sizes=None) -> pa.RecordBatch:
+    empty = [None] * len(bucket)
+    columns = [pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), *(pa.array(x or empty, pa.binary()) for x in (low, row, times, nodes, sizes))]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PARTS.split(", ")])
+
+
+def _joined(parts, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in parts if x is not None), dtype=kind)
+
+
+def prefixes(texts: DataFrame, n: int, threshold: float, buckets: int) -> DataFrame:
+    """(key, node, size, place): the n-grams that more than one set has, of the prefix of each set, and their places in it.
+
+    A key is a bucket and 32 bits of a hash. Where n-grams share a key, all count as often as the key does, which
+    changes their order, the same for all sets, and may tie more.
+    """
+
+    def cut(batches):
+        from pyspark import TaskContext
+
+        chunk, own, size = TaskContext.get().partitionId() << 32, {}, 0
+
+        def emit():
+            nonlocal chunk, size
+            sizes = np.array([len(x) for x in own.values()], dtype="<u4")
+            flat = np.concatenate(list(own.values()))
+            bucket = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            low, row = flat.astype("<u4")[order], np.repeat(np.arange(len(sizes)), sizes).astype("<u2")[order]
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+            some = [(b, lo, hi) for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+            yield _parts([b for b, _, _ in some], [chunk] * len(some), [low[lo:hi].tobytes() for _, lo, hi in some], [row[lo:hi].tobytes() for _, lo, hi in some])
+            nodes = np.array(list(own), dtype="<i8")
+            yield _parts([chunk % buckets], [chunk], None, None, None, [nodes.tobytes()], [sizes.tobytes()])
+            chunk, size = chunk + 1, 0
+            own.clear()
+            _run.give_back()
+
+        for batch in batches:
+            for _, found in sets_of(batch.column("text"), n):
+                for x in found:
+                    if len(x) and (node := node_of(x)) not in own:
+                        own[node] = x
+                        size += len(x)
+                        if size >= CHUNK_TOKENS or len(own) == CHUNK_SETS:
+                            yield from emit()
+        if own:
+            yield from emit()
+
+    def counted(batches):
+        for bucket, (_, chunks, lows, rows, _, nodes, sizes) in _runs(batches, "bucket"):
+            whole = [k for k, x in enumerate(nodes) if x is not None]
+            if whole:
+                yield _parts([bucket] * len(whole), [chunks[k] for k in whole], None, None, None, [nodes[k] for k in whole], [sizes[k] for k in whole])
+            low, row = _joined(lows, "<u4"), _joined(rows, "<u2")
+            part = np.repeat(np.arange(len(lows)), [len(x or b"") // 4 for x in lows])
+            _, at, times = np.unique(low, return_inverse=True, return_counts=True)
+            keep = np.flatnonzero(times[at] > 1)
+            low, row, times = low[keep], row[keep], np.minimum(times[at[keep]], 0xFFFF).astype("<u2")
+            cuts = np.searchsorted(part[keep], np.arange(len(lows) + 1)).tolist()
+            some = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+            yield _parts([bucket] * len(some), [chunks[k] for k, _, _ in some], *([x[lo:hi].tobytes() for _, lo, hi in some] for x in (low, row, times)))
+            _run.give_back()
+
+    def placed(batches):
+        for _, (bucket, _, lows, rows, times, nodes, sizes) in _runs(batches, "chunk"):
+            node, size = _joined(nodes, "<i8"), _joined(sizes, "<u4").astype(np.int64)
+            low, row, times = _joined(lows, "<u4"), _joined(rows, "<u2"), _joined(times, "<u2")
+            key = np.repeat(np.array(bucket, dtype=np.int64), [len(x or b"") // 4 for x in lows]) << 32 | low
+            order = np.lexsort((key, times, row))
+            key, row = key[order], row[order].astype(np.int64)
+            count = np.bincount(row, minlength=len(node))
+            place = (size - np.cumsum(count))[row] + np.arange(len(row))
+            keep = place <= (size - np.ceil(threshold * size - 1e-9))[row]
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[row]), pa.array(size[row]), pa.array(place[keep])], names=["key", "node", "size", "place"])
+            _run.give_back()
+
+    sent = _run.text_batches(texts).mapInArrow(cut, _PARTS).repartition("bucket").sortWithinPartitions("bucket")
+    back = sent.mapInArrow(counted, _PARTS).repartition("chunk").sortWithinPartitions("chunk")
+    return back.mapInArrow(placed, "key long, node long, size long, place long")
+
+
+def ties(keys: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): nodes that a shared key ties together."""
+
+    def tied(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        before = None  # key, head of its sizes that meet, last size: of a long run that has begun
+
+        def ties_of(rows, last: bool):
+            nonlocal before
+            key, node, size, place = rows
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(fresh)
+            long = np.diff(first, append=len(key)) > PAIRED
+            if before is not None:
+                long[0] |= key[0] == before[0]
+            done = len(key) if last or long[-1] else int(first[-1])
+            long = np.repeat(long, np.diff(first, append=len(key)))
+            out = []
+            for d in range(1, PAIRED):
+                i = np.flatnonzero((key[d:done] == key[: max(done - d, 0)]) & ~long[d:done])
+                j = i + d
+                needed = threshold / (1 + threshold) * (size[i] + size[j]) - 1e-9
+                near = np.minimum(size[i] - place[i], size[j] - place[j]) >= needed
+                out.append((node[i[near]], node[j[near]]))
+            at = np.flatnonzero(long)
+            if len(at):
+                begins, previous, heads = fresh[at].copy(), np.concatenate([size[at[:1]], size[at[:-1]]]), np.concatenate([node[at[:1]], node[at]])
+                if before is not None and key[at[0]] == before[0]:
+                    begins[0], heads[0], previous[0] = False, before[1], before[2]
+                begins |= previous < threshold * size[at] - 1e-9
+                head = heads[np.maximum.accumulate(np.where(begins, np.arange(1, len(at) + 1), 0))]
+                out.append((head, node[at]))
+            before = (key[-1], head[-1], size[-1]) if long[-1] else None
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = a != b
+            new[1:] &= (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"]), tuple(x[done:] for x in rows)
+
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            if sum(len(x[0]) for x in held) >= FRONTIER:
+                found, rest = ties_of(tuple(map(np.concatenate, zip(*held, strict=True))), False)
+                held = [rest]
+                yield found
+        if sum(len(x[0]) for x in held):
+            yield ties_of(tuple(map(np.concatenate, zip(*held, strict=True))), True)[0]
+
+    return keys.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(tied, "a long, b long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -159,7 +300,7 @@ class Tree:
     def possible(self, level: int, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
         """Whether nodes a and b can hold a pair of sets of at least this similarity."""
         bitmap, low, high, shared = self.levels[level]
-        fits = (high[a] >= threshold * low[b]) & (high[b] >= threshold * low[a])
+        fits = (high[a] >= threshold * low[b] - 1e-9) & (high[b] >= threshold * low[a] - 1e-9)
         needed = threshold / (1 + threshold) * (low[a] + low[b])
         at = np.flatnonzero(fits)
         common = np.bitwise_count(bitmap[a[at]] & bitmap[b[at]]).sum(axis=1)
@@ -308,7 +449,7 @@ def _verify(n: int, threshold: float, reduce):
 
 
 def join(
-    docs: DataFrame, reduce=_pairs_of, n: int = 3, threshold: float = 0.5, bands: int = 64, rows: int = 4, block: int = 4096, scratch: list | None = None
+    docs: DataFrame, reduce=_pairs_of, n: int = 3, threshold: float = 0.5, block: int = 4096, scratch: list | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(found, classes, members) of docs(doc_id, text). The written tables that they read are added to ``scratch``.
 
@@ -316,16 +457,18 @@ def join(
     classes(node, doc_id, text_hash, copies, size): the smallest document of each class, and the number of its documents.
     members(doc_id, text_hash, node): the text or texts of every document that has words.
     """
-    signed = _run.written(signatures(docs, n, bands, rows))
+    signed = _run.written(signatures(docs, n))
     members = signed.select("doc_id", "text_hash", "node", "size").distinct()
     once = members.groupBy("node", "doc_id").agg(F.min("text_hash").alias("text_hash"), F.first("size").alias("size"))
     classes = once.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("low"), F.count("*").alias("copies"), F.first("size").alias("size"))
     classes = _run.written(classes.select("node", "low.doc_id", "low.text_hash", "copies", "size"))
-    keyed = signed.select("node", F.explode("keys").alias("key"))
-    # counted before any key is collected: a hot key is one row
-    shared = _run.written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key", "low"))
-    tied = _run.join_small(keyed, shared, "key", row_bytes=80).where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    labels = components(tied)
+    # one text of each class is enough; if there are too many copies to ship their list, they are counted along
+    copies = once.join(classes.select("node", F.col("doc_id").alias("low")), "node").where("doc_id != low").select("doc_id", "text_hash")
+    texts = _texts(docs)
+    if copies.count() * 64 <= _run.SHIP_BYTES:
+        texts = texts.join(F.broadcast(copies), ["doc_id", "text_hash"], "left_anti")
+    tokens = classes.agg(F.sum("size")).first()[0] or 0
+    labels = components(ties(prefixes(texts.select("text"), n, threshold, tokens // BUCKET_TOKENS + 1), threshold))
     octave = F.floor(F.log2("size")).cast("long")
     grouped = labels.select(F.col("id").alias("node"), F.col("label").alias("component")).join(classes, "node").withColumn("octave", octave)
     parts = grouped.groupBy("component", "octave").agg(F.ceil(F.count("*") / block).alias("parts")).where("parts > 1")
@@ -333,11 +476,11 @@ def join(
     number = F.col("octave") * (1 << 32) + F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
     placed = _run.written(grouped.select("component", "node", "doc_id", "text_hash", "copies", "size", number.alias("block")))
     if scratch is not None:
-        scratch += [signed, classes, shared, labels, placed]
+        scratch += [signed, classes, labels, placed]
     spans = placed.groupBy("component", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     right = spans.select("component", F.col("block").alias("right"), F.col("low").alias("low_right"), F.col("high").alias("high_right"))
     tasks = spans.withColumnRenamed("block", "left").join(right, "component")
-    tasks = tasks.where((F.col("left") <= F.col("right")) & (F.col("high") >= threshold * F.col("low_right")) & (F.col("high_right") >= threshold * F.col("low")))
+    tasks = tasks.where((F.col("left") <= F.col("right")) & (F.col("high") >= threshold * F.col("low_right") - 1e-9) & (F.col("high_right") >= threshold * F.col("low") - 1e-9))
     tasks = tasks.select("component", "left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("block"))
     wanted = placed.join(tasks, ["component", "block"]).select("component", "left", "right", "block", "doc_id", "text_hash", "node", "copies")
     work = _run.join_small(_texts(docs), wanted, ["doc_id", "text_hash"]).repartition("component", "left", "right").sortWithinPartitions("component", "left", "right", "node")

@@ -157,3 +157,30 @@ def test_texts_of_one_id_have_their_own_fate(spark):
     docs = [(1, " ".join(base)), (2, " ".join(["x", *base[1:]])), (2, other), (3, " ".join(f"u{k}" for k in range(50))), (3, " ".join(f"u{k}" for k in range(49)))]
     kept = ngram_join.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == [1, 2, 3] and other in {r.text for r in kept}
+
+
+def test_no_link_at_the_threshold_is_left_out(spark):
+    """Pairs of texts that share just half of their n-grams, each apart from all others."""
+    docs = []
+    for k in range(500):
+        shared = [f"s{k}x{j}" for j in range(22)]
+        docs += [(2 * k, " ".join([*shared, *(f"a{k}x{j}" for j in range(10))])), (2 * k + 1, " ".join([*shared, *(f"b{k}x{j}" for j in range(10))]))]
+    got = sorted(tuple(r) for r in ngram_join.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(d, d - d % 2, 1) for d, _ in docs]
+
+
+@pytest.mark.parametrize("chunk, paired", [(1 << 21, 16), (500, 2)])
+@pytest.mark.parametrize("threshold", [0.3, 0.55, 0.8])
+def test_links_of_common_words(spark, threshold, chunk, paired, monkeypatch):
+    """Short texts over few words, where every n-gram is shared: all links, whatever the chunks, buckets and long runs."""
+    monkeypatch.setattr(ngram_join, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(ngram_join, "BUCKET_TOKENS", chunk)
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    monkeypatch.setattr(ngram_join, "FRONTIER", 64 if paired == 2 else 1 << 16)
+    rng = random.Random(8)
+    docs = []
+    for k in range(250):
+        base = [rng.choice("abcd") for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 30, 60]))]
+        docs += [(k, " ".join(base)), (1000 + k, " ".join(w if rng.random() > 0.05 else f"w{rng.randrange(40)}" for w in base))]
+    got = sorted(tuple(r) for r in ngram_join.linked(spark.createDataFrame(docs, "doc_id long, text string"), threshold=threshold).collect())
+    assert got == brute_links(docs, threshold)
