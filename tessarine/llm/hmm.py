@@ -25,7 +25,8 @@ of their classes.
 
 Documents are packed, ``PACK_WORDS`` words at a time. Lines of a pack are sorted by length and
 advanced together, position by position, so the recursions are matrix products over all lines
-that still run.
+that still run. Training, to which lines are all the same, sorts those of up to ``GROUP_WORDS``
+words first and cuts them into packs anew: then few lines outlast the others of their pack.
 
 Defined results: a null or empty text, or one without words, has ``words`` 0,
 ``log_likelihood`` 0 and ``bits_per_word`` NULL. An empty table trains on nothing and
@@ -47,6 +48,8 @@ from tessarine.llm import _run, _text
 
 #: Words of one pack of documents; a longer document is a pack of its own.
 PACK_WORDS = 150_000
+#: Words whose lines are sorted together for training; two bytes each.
+GROUP_WORDS = 8_000_000
 #: Most classes of a model, so that a code has two bytes.
 MOST_CLASSES = 1 << 16
 _INITIAL, _LIKELIHOOD, _TRANSITION = -1, -2, -16
@@ -257,32 +260,45 @@ def _unpack(per_row: bytes, lines: bytes, codes: bytes):
 
 
 class Packed:
-    """Some lines, longest first: position t of the lines that have one is one slice."""
+    """Some lines, longest first: position t of the lines that have one is one slice.
 
-    def __init__(self, symbols: np.ndarray, words: np.ndarray):
+    start: where each line begins in ``symbols``; without it they lie end to end.
+    """
+
+    def __init__(self, symbols: np.ndarray, words: np.ndarray, start: np.ndarray | None = None):
         self.order = np.argsort(-words, kind="stable")
         length = words[self.order]
         steps = int(length[0]) if len(length) else 0
         # lines that are longer than t
         self.running = len(length) - np.searchsorted(length[::-1], np.arange(steps), side="right")
-        start = (np.cumsum(words) - words)[self.order]
+        start = (np.cumsum(words) - words if start is None else start)[self.order]
         step = np.repeat(np.arange(steps), self.running)
         self.begin = np.concatenate([[0], np.cumsum(self.running)])
         self.line = np.arange(len(step)) - self.begin[step]
-        self.symbols = symbols[start[self.line] + step]
+        self.symbols = symbols[start[self.line] + step].astype(np.int64)
+
+
+def by_length(codes: list[bytes], lines: list[bytes]):
+    """The lines of some packs as ``Packed`` ones of about ``PACK_WORDS`` words, the longest in the first."""
+    symbols, words = np.frombuffer(b"".join(codes), "<u2"), np.frombuffer(b"".join(lines), "<u4").astype(np.int64)
+    start = np.cumsum(words) - words
+    order = np.argsort(-words, kind="stable")
+    order = order[words[order] > 0]
+    piece = (np.cumsum(words[order]) - 1) // PACK_WORDS
+    for own in np.split(order, np.flatnonzero(np.diff(piece)) + 1):
+        if len(own):
+            yield Packed(symbols, words[own], start[own])
 
 
 def forward(model: Model, packed: Packed, kind=np.float64) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward variables and scale factors, position by position."""
-    alpha = model.emission.astype(kind)[packed.symbols]
-    transition, ones, scale = model.transition.astype(kind), np.ones(model.states, dtype=kind), np.empty(len(alpha), dtype=kind)
-    last, begin = None, packed.begin.tolist()
-    for t, n in enumerate(packed.running.tolist()):
-        now = alpha[begin[t] : begin[t] + n]
-        now *= model.initial.astype(kind) if last is None else last[:n] @ transition
-        total = now @ ones
-        now /= total[:, None]
-        scale[begin[t] : begin[t] + n] = total
+    """Scaled forward variables (states x words) and scale factors, position by position."""
+    alpha = np.take(np.ascontiguousarray(model.emission.T, dtype=kind), packed.symbols, axis=1)
+    into, ones, scale = np.ascontiguousarray(model.transition.T, dtype=kind), np.ones(model.states, dtype=kind), np.empty(alpha.shape[1], dtype=kind)
+    last = None
+    for at, n in zip(packed.begin.tolist(), packed.running.tolist()):
+        now = alpha[:, at : at + n]
+        now *= model.initial.astype(kind)[:, None] if last is None else into @ last[:, :n]
+        now /= np.matmul(ones, now, out=scale[at : at + n])
         last = now
     return alpha, scale
 
@@ -290,23 +306,23 @@ def forward(model: Model, packed: Packed, kind=np.float64) -> tuple[np.ndarray,
 def expected_counts(model: Model, packed: Packed, kind=np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """(initial, transition, emission) counts and log likelihood of some lines."""
     alpha, scale = forward(model, packed, kind)
-    beta = np.ones_like(alpha)
-    ahead = model.emission.astype(kind)[packed.symbols]
-    ahead /= scale[:, None]
-    back, begin, running = np.ascontiguousarray(model.transition.T.astype(kind)), packed.begin.tolist(), packed.running.tolist()
-    for t in range(len(running) - 1, 0, -1):
-        now = ahead[begin[t] : begin[t] + running[t]]
-        now *= beta[begin[t] : begin[t] + running[t]]
-        np.matmul(now, back, out=beta[begin[t - 1] : begin[t - 1] + running[t]])
-    first = running[0] if running else 0
-    later = np.arange(first, len(alpha))
-    step = np.repeat(np.arange(len(running)), running)[first:]
-    transition = alpha[packed.begin[step - 1] + packed.line[later]].T @ ahead[first:] if len(later) else np.zeros_like(back)
-    del ahead
-    alpha *= beta
-    size = len(model.emission)
-    emission = np.stack([np.bincount(packed.symbols, weights=g, minlength=size) for g in alpha.T], axis=1)
-    return alpha[:first].sum(axis=0, dtype=np.float64), transition * model.transition, emission, float(np.log(scale, dtype=np.float64).sum())
+    ahead = np.take(np.ascontiguousarray(model.emission.T, dtype=kind), packed.symbols, axis=1)
+    ahead /= scale
+    back, begin, running = model.transition.astype(kind), packed.begin.tolist(), packed.running.tolist()
+    transition = np.zeros((model.states, model.states))
+    beta = np.ones((model.states, 0), dtype=kind)  # of the lines that go on; it is 1 for those that end
+    for t in range(len(running) - 1, -1, -1):
+        at, n, on = begin[t], running[t], beta.shape[1]
+        if on:
+            alpha[:, at : at + on] *= beta
+        if t:
+            now = ahead[:, at : at + n]
+            now[:, :on] *= beta
+            transition += alpha[:, begin[t - 1] : begin[t - 1] + n] @ now.T
+            beta = back @ now
+    size, first = len(model.emission), running[0] if running else 0
+    emission = np.stack([np.bincount(packed.symbols, weights=g, minlength=size) for g in alpha]).T
+    return alpha[:, :first].sum(axis=1, dtype=np.float64), transition * model.transition, emission, float(np.log(scale, dtype=np.float64).sum())
 
 
 def train(encoded: DataFrame, states: int = 8, symbols: int = 32_768, max_iterations: int = 100, tolerance: float = 1e-3, smoothing: float = 0.01, seed: int = 3) -> Model:
@@ -320,23 +336,34 @@ def train(encoded: DataFrame, states: int = 8, symbols: int = 32_768, max_iterat
 
         def counts(batches, shipped=shipped):
             now = Model(*shipped.value)
+            now.emission = np.asfortranarray(now.emission)
             first, transition = np.zeros(now.states), np.zeros((now.states, now.states))
             emission, likelihood = np.zeros_like(now.emission), np.zeros(now.states)
-            for batch in batches:
-                for per_row, lines, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    codes, words, _ = _unpack(per_row, lines, codes)
-                    f, a, e, value = expected_counts(now, Packed(codes, words[words > 0]), np.float32)
-                    first += f
-                    transition += a
-                    emission += e
-                    likelihood[:2] += value, len(codes)
+
+            def add(held):
+                for packed in by_length(*zip(*held, strict=True)):
+                    f, a, e, value = expected_counts(now, packed, np.float32)
+                    first[:] += f
+                    transition[:] += a
+                    emission[:] += e
+                    likelihood[:2] += value, len(packed.symbols)
+                held.clear()
                 _run.give_back()
+
+            held: list[tuple[bytes, bytes]] = []
+            for batch in batches:
+                for codes, lines in zip(batch.column("codes"), batch.column("lines"), strict=True):
+                    held.append((codes.as_py(), lines.as_py()))
+                    if sum(len(c) for c, _ in held) >= 2 * GROUP_WORDS:
+                        add(held)
+            if held:
+                add(held)
             used = np.flatnonzero(emission.any(axis=1))
             ids = np.concatenate([used, [_INITIAL, _LIKELIHOOD], _TRANSITION - np.arange(now.states)]).astype(np.int32)
             values = np.concatenate([emission[used], first[None], likelihood[None], transition]).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.ascontiguousarray(v)) for v in values.T)], names=["id", *columns])
 
-        sums = encoded.select("per_row", "lines", "codes").mapInArrow(counts, schema).groupBy("id").agg(*(F.sum(c).alias(c) for c in columns))
+        sums = encoded.select("lines", "codes").mapInArrow(counts, schema).groupBy("id").agg(*(F.sum(c).alias(c) for c in columns))
         table = sums.toArrow()  # classes x states numbers, whatever the size of the corpus
         shipped.unpersist()
         ids = table.column("id").to_numpy()

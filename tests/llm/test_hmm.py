@@ -62,6 +62,22 @@ def test_expected_counts_by_enumeration():
     assert value == pytest.approx(sum(brute(m, x) for x in LINES))
 
 
+def test_lines_of_like_length_run_together(monkeypatch):
+    """Packs with a long line each take the steps of one long line, and their counts are those of the packs one by one."""
+    monkeypatch.setattr(hmm, "PACK_WORDS", 400)
+    rng = np.random.default_rng(6)
+    packs = [[rng.integers(0, 4, n) for n in (2, 90 + k, 0, 7, 5, 6, 1)] for k in range(4)]
+    codes = [np.concatenate(x).astype("<u2").tobytes() for x in packs]
+    lines = [np.array([len(y) for y in x], dtype="<u4").tobytes() for x in packs]
+    m, again = model(seed=2), list(hmm.by_length(codes, lines))
+    got = [hmm.expected_counts(m, p) for p in again]
+    want = [hmm.expected_counts(m, packed([y for y in x if len(y)])) for x in packs]
+    for a, b in zip(zip(*got, strict=True), zip(*want, strict=True), strict=True):
+        assert sum(a) == pytest.approx(sum(b))
+    assert len(again) == 2 and sum(len(p.running) for p in again) <= 93 + 7
+    assert sum(len(p.symbols) for p in again) == sum(len(y) for x in packs for y in x)
+
+
 def decoded(encoded):
     """{doc_id: (lines of classes, sum of log shares)} of packs."""
     out = {}
