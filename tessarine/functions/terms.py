@@ -76,8 +76,23 @@ def line_glob(pattern: str) -> str:
     return "".join(wild.get(c) or ("\\" + c if c in _SPECIAL else c) for c in pattern)
 
 
+_W = "[A-Za-z0-9_]"
+_BOUNDARIES = {r"\b": f"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))", r"\B": f"(?:(?<={_W})(?={_W})|(?<!{_W})(?!{_W}))"}
+_PIECES = re.compile(r"\\Q.*?(?:\\E|\Z)|\\b\{g\}|\\.|\[|\]|.", re.S)
+
+
+def ascii_boundaries(pattern: str) -> str:
+    """A regular expression for Java whose ``\\b`` and ``\\B`` outside of character classes are those of ASCII words."""
+    out, depth = [], 0
+    for piece in _PIECES.findall(pattern):
+        depth = max(0, depth + (piece == "[") - (piece == "]"))
+        out.append(piece if depth else _BOUNDARIES.get(piece, piece))
+    return "".join(out)
+
+
 def search_patterns(query: str, is_regex: bool = False, engine: str = "java") -> list[str]:
-    """Patterns with their flags: globs ignore ASCII case, a regular expression is taken as it is."""
+    """Patterns with their flags: globs ignore ASCII case, a regular expression is taken as it is, but for word boundaries."""
     if is_regex:
-        return [query.strip()] if query.strip() else []
+        own = query.strip()
+        return [ascii_boundaries(own) if engine == "java" else own] if own else []
     return [f"(?i){p}" if "|" not in p else f"(?i)(?:{p})" for p in patterns(query, engine)]

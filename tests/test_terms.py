@@ -3,6 +3,7 @@ import re
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessarine.functions import globs, terms
 
@@ -93,3 +94,15 @@ def test_membership(spark):
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     keep = df.where(globs.member(F.col("path"), [".cc"], ["/R/chrome"], ["**/out/**"]))
     assert [r.path for r in keep.collect()] == ["/r/chrome/a.CC"]
+
+
+def test_boundaries_of_a_regular_expression(spark):
+    """As in RE2 and JavaScript: letters beyond ASCII end a word."""
+    cases = [r"T[a-h]+e[nr]\b", r"\bne", r"e\Bn", r"n\B", r"[\]b]e\b", r"\\b", r"(?:\b|x)n\b", r"\b"]
+    texts = ["Taten", "Tatenü", "üTaten", "ünen", "Tater\u0301", "ene", "be", "beé", "a\\b", "né n", "", "ü", "xnß", "n_"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for c in cases:
+        [pattern] = terms.search_patterns(c, is_regex=True)
+        assert [r.t for r in df.where(F.col("t").rlike(pattern)).collect()] == [t for t in texts if re.search(c, t, re.A)], c
+    assert terms.search_patterns(r"a\b", is_regex=True, engine="re2") == [r"a\b"]
+    assert terms.search_patterns(r"\Q\b\E[\b&&[a]]", is_regex=True) == [r"\Q\b\E[\b&&[a]]"]
