@@ -14,13 +14,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(both, F.lit(0.0), lambda s, x: s + x))
 
 
+def squares(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+
+
 def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.sqrt(squares(a))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """1 - cosine; NULL for a zero vector or another length."""
-    return 1 - F.try_divide(dot(a, b), norm(a) * norm(b))
+    """1 - cosine, which rounding can't take out of -1 .. 1; NULL for a zero vector or another length."""
+    cosine = F.try_divide(dot(a, b), F.sqrt(squares(a) * squares(b)))
+    # a lambda, so that the sums are computed once
+    cut = F.transform(F.array(cosine), lambda x: F.when(F.isnan(x), x).when(x > 1, 1.0).when(x < -1, -1.0).otherwise(x))
+    return 1 - F.get(cut, 0)
 
 
 def similarity(distance: Column) -> Column:

@@ -1,9 +1,13 @@
 import json
+import math
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessarine import schema
+from tessarine.functions.vectors import cosine_distance
 from tessarine.operators import intervals, knn, maintain, references, training
 from tessarine.sources import config, files, models
 from tessarine.sources.store import TableStore
@@ -147,8 +151,6 @@ def test_neighbours_of_all_in_bounded_memory(spark):
 
 @pytest.mark.parametrize("ship", [1 << 20, 3000, 400])
 def test_neighbours_of_all_each_way(spark, ship):
-    import random
-
     rng = random.Random(2)
     lists = [[float(rng.randrange(-3, 4)) for _ in range(4)] for _ in range(150)] + [None, [1.0, None, 2.0, 1.0], [], [0.0] * 4, [2.0]]
     v = spark.createDataFrame([(k, e) for k, e in enumerate(lists)], "vector_id long, embedding array<float>").repartition(3)
@@ -169,6 +171,21 @@ def test_neighbours_of_all_each_way(spark, ship):
     assert {(r.query_id, r["rank"]): (r.vector_id, r.distance) for r in found} == want
 
 
+def test_nearest_by_rounded_distance(spark):
+    # 5 is nearer than 4 and 3, but not by the digits shown
+    angles = {1: 0.0, 5: 0.100001, 4: 0.100002, 3: 0.100003, 2: 0.2}
+    v = spark.createDataFrame([(k, [math.cos(a), math.sin(a)]) for k, a in angles.items()], "vector_id long, embedding array<double>")
+    assert [r.vector_id for r in knn.nearest(v, [1.0, 0.0], 2, offset=1).collect()] == [5, 4]
+    assert [tuple(r) for r in knn.nearest(v, [1.0, 0.0], 2, offset=1, digits=4).collect()] == [(3, 0.005), (4, 0.005)]
+    # one over the root of a product, and never beyond 1, as DuckDB has it
+    rng = random.Random(4)
+    pairs = [[[rng.randrange(-(1 << 23), 1 << 23) / (1 << 20) for _ in range(7)] for _ in range(2)] for _ in range(300)]  # whose products are exact
+    pairs += [(a, [3 * x for x in a]) for a, _ in pairs]
+    found = spark.createDataFrame(pairs, "a array<double>, b array<double>").select(cosine_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    c = duckdb.connect()
+    assert [r.d for r in found] == [c.execute("SELECT 1 - list_cosine_similarity(?::DOUBLE[], ?::DOUBLE[])", [a, b]).fetchone()[0] for a, b in pairs]
+
+
 def test_intervals(spark):
     s = spark.createDataFrame(
         [("f", 1, "n", 0, 20, "n"), ("f", 2, "c", 3, 12, "n::c"), ("f", 21, "m", 5, 8, "n::c::m"), ("f", 21, "k", 10, 11, None), ("f", 60, "x", 6, 6, None)],
