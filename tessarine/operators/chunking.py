@@ -5,11 +5,17 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessarine.operators import parsers
 from tessarine.schema import CHUNK, SYMBOL
+from tessarine.sources.shared import small_batches
+
+#: Bytes of text that are cut into chunks before these are handed back.
+SLICE = 4 << 20
 
 
 def _arrow(schema):
@@ -34,20 +40,41 @@ def chunks_of(files: DataFrame, key: str = "path", plain: bool = False) -> DataF
 
     The hash is that of the chunk with its prefix. plain takes the default parser for all.
     """
-    kind = pa.list_(_arrow(CHUNK))
-
-    def chunked(paths: pa.Array, texts: pa.Array) -> pa.Array:
-        out = []
-        for p, t in zip(paths.to_pylist(), texts.to_pylist(), strict=True):
-            parser = parsers.DEFAULT if plain else parsers.parser_for(p or "")
-            rows = [] if t is None else parser.chunks(t.split("\n"), parser.symbols(t), p)
-            out.append(
-                [{"start_line": a + 1, "end_line": b, "text": x, "sha256": hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()} for a, b, x in rows if b > a]
-            )
-        return pa.array(out, kind)
-
-    udf = F.arrow_udf(chunked, f"array<{CHUNK.simpleString()}>")
-    return files.select(key, F.explode(udf(F.col(key).cast("string"), "text")).alias("c")).select(key, "c.*")
+    kind = to_arrow_type(files.schema[key].dataType)
+    out = pa.schema([(key, kind), *((f.name, f.type) for f in _arrow(CHUNK))])
+
+    def chunked(batches):
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            for a, b in _slices(sizes):
+                keys, rows = batch.column(key).slice(a, b - a), ([], [], [], [], [])
+                for k, (p, t) in enumerate(zip(keys.to_pylist(), batch.column("text").slice(a, b - a).to_pylist(), strict=True)):
+                    if t is None:
+                        continue
+                    parser = parsers.DEFAULT if plain else parsers.parser_for("" if p is None else str(p))
+                    for start, end, x in parser.chunks(t.split("\n"), parser.symbols(t), None if p is None else str(p)):
+                        if end > start:
+                            digest = hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+                            for column, value in zip(rows, (k, start + 1, end, x, digest), strict=True):
+                                column.append(value)
+                own = dict(zip(("start_line", "end_line", "text", "sha256"), rows[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([keys.cast(kind).take(pa.array(rows[0], pa.int64())), *(pa.array(own[f.name], f.type) for f in out if f.name in own)], schema=out)
+
+    small_batches(files.sparkSession)
+    schema = f"{key} {dict(files.dtypes)[key]}, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in CHUNK.fields)}"
+    return files.select(key, "text").mapInArrow(chunked, schema)
+
+
+def _slices(sizes):
+    """(start, end) of runs of rows that have SLICE bytes together, or of one row of more."""
+    start, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n > SLICE:
+            yield start, k
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def distinct_chunks(chunks: DataFrame, key: str = "path") -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from tessarine.operators import chunking, parsers
@@ -149,3 +150,15 @@ def test_headings_as_columns_agree(spark):
     lines = spark.createDataFrame([("p", k, x) for k, x in enumerate(text.split("\n"))], "path string, line int, line_text string")
     got = sorted((r.start_line, r.end_line, r.breadcrumb) for r in chunking.sections(chunking.headings(lines), lines).collect())
     assert got == MD.sections(text.split("\n"), MD.symbols(text))
+
+
+def test_chunks_in_small_slices(spark, monkeypatch):
+    """Texts go to Python and chunks come back in runs of bounded size, in whatever cut."""
+    assert list(chunking._slices(np.array([3, 4, 20, 0, 1]))) == [(0, 5)] and list(chunking._slices(np.array([], int))) == []
+    monkeypatch.setattr(chunking, "SLICE", 7)
+    assert list(chunking._slices(np.array([3, 4, 20, 0, 1, 6, 9]))) == [(0, 2), (2, 3), (3, 6), (6, 7)]
+    texts = {k: None if k % 5 == 0 else "\n".join(f"{k} line {n} of a text that is long enough" for n in range(k * 9)) for k in range(1, 30)}
+    files = spark.createDataFrame(list(texts.items()), "path long, text string")
+    want = {(k, a + 1, b, x) for k, t in texts.items() if t is not None for a, b, x in parsers.DEFAULT.chunks(t.split("\n"), [], str(k)) if b > a}
+    assert {(r.path, r.start_line, r.end_line, r.text) for r in chunking.chunks_of(files).collect()} == want
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
